@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, mixing, packing, quality_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op8_quality_rules)}
+def vocabulary() -> str:
+    """The tokenizer file of the packing contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_exact_dedup, op6_source_mixing, op8_quality_rules)}
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
