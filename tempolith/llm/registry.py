@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_rules
+from . import exact_dedup, mixing, packing, quality_rules, suffix_dedup
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_exact_dedup, op6_source_mixing, op8_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op8_quality_rules)}
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
