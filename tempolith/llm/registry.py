@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_rules, suffix_dedup
+from . import chunk_dedup, exact_dedup, mixing, near_dedup, packing, quality_rules, suffix_dedup
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +43,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op8_quality_rules, op9_near_dedup)}
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.chunk_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op8_quality_rules, op9_near_dedup, op10_chunk_dedup)}
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
