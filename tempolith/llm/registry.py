@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, exact_dedup, mixing, near_dedup, packing, quality_rules, suffix_dedup
+from . import chunk_dedup, exact_dedup, mixing, near_dedup, packing, quality_rules, suffix_dedup, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.chunk_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op8_quality_rules, op9_near_dedup, op10_chunk_dedup)}
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_warc_captures, op4_suffix_dedup, op5_exact_dedup, op6_source_mixing, op8_quality_rules, op9_near_dedup, op10_chunk_dedup)}
+ORACLES: dict[str, str] = {"op3_warc_captures": warc.SQL, "op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
