@@ -5,7 +5,7 @@ Bulk-synchronous best fit over a distributed table:
 * every document is tokenised where it is read; only those longer than a
   sequence are cut, and the first piece takes the remainder, so all other
   pieces of it fill a sequence on their own;
-* the largest pieces open as many sequences as the token count needs at least;
+* pieces of over half a sequence open one each;
 * a *round* range-sorts the unplaced pieces and the gaps of open sequences
   together by size and sweeps each range: a gap takes the largest free piece
   that is no larger than itself (the successor relation, read from the piece's
@@ -15,7 +15,8 @@ Bulk-synchronous best fit over a distributed table:
   settlement, one row to one row, so no piece goes to two gaps and no gap gets
   two pieces in a round;
 * gaps shrink by what they took, and the next round begins.  When a round
-  matches next to nothing, the largest pieces left open further sequences.
+  matches next to nothing, the largest pieces left open further sequences; if
+  only small ones are left by then, they are put one after another into new ones.
 
 Only piece ids and sizes move, never texts or tokens; the driver sees counts
 per range.  Each round's state is a written table.
@@ -28,8 +29,10 @@ whole, one at a time.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,19 +49,46 @@ SEQUENCE = 2048
 #: Pieces up to SMALL tokens are strung together to bundles of up to twice that where a
 #: sequence would hold over MANY pieces on average, so that the number of rounds stays bounded.
 SMALL, MANY = 128, 8
+#: Rows of a range in a round, and the share of matches under which further sequences are opened.
+RANGE_ROWS, FEW = 250_000, 0.02
 #: A worker's memory of encoded words is emptied at so many entries.
-WORD_MEMORY = 400_000
-_UNSAFE = re.compile(r"\s | \s")
+WORD_MEMORY = 600_000
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The characters for which Python's expressions split as the vocabulary's own do; other texts are encoded whole.
+_PLAIN = re.compile(r"[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: The pre-tokenisation that byte-level BPE vocabularies of this kind publish, for those characters.
+_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+
+
+def _merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings and ranks of a byte-level BPE file whose ids follow its merges, else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    for k, pair in enumerate(model["merges"]):
+        left, right = pair.split(" ") if isinstance(pair, str) else pair
+        if model["vocab"][left + right] != 256 + k:
+            return None
+    return ranks
+
+
 class WordEncoder(dict):
     """Token ids of texts as little-endian bytes, remembering words.
 
-    Byte-level BPE never merges over the boundary before a blank that stands
-    alone between two other characters, so a text is the concatenation of its
-    encoded words there.  Texts with blanks beside other white space are encoded whole.
+    Byte-level BPE never merges across the pieces of its pre-tokenisation, so a
+    text is the concatenation of its encoded pieces.  Pieces that were seen
+    before come from memory; the memory is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -67,27 +97,23 @@ class WordEncoder(dict):
         super().__init__()
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.plain = self.model.encode_batch_fast
+        ranks = _merge_ranks(path)
+        self.piece = None
+        if ranks:
+            import tiktoken
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.plain(texts, add_special_tokens=False)]
+            self.piece = tiktoken.Encoding("pieces", pat_str=r"(?s:.)+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > WORD_MEMORY:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_MEMORY:
             self.clear()
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.update(zip(part, self.encode([" " + w for w in part]), strict=True))
+        ids = self[word] = struct.pack(f"<{len(x)}I", *x) if (x := self.piece(word)) else b""
+        return ids
 
     def ids(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self.encode([text])[0]
-        first, *words = text.split(" ")
-        if not words:
-            return self.encode([first])[0]
-        self.learn(set(words))
-        return self.encode([first])[0] + b"".join(map(self.__getitem__, words))
+        if self.piece and _PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, _TOKENS.findall(text)))
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -269,34 +295,62 @@ def _open(left: DataFrame, n: int, most: int) -> tuple[DataFrame, DataFrame]:
     return left.where(chosen), left.where(~chosen)
 
 
+def _strung(left: DataFrame, parts: int, most: int) -> DataFrame:
+    """Small pieces that fit no gap, put one after another into new sequences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, at = None, most
+        for pdf in batches:
+            rows = []
+            for uid, size in zip(pdf["uid"].tolist(), pdf["size"].tolist(), strict=True):
+                if at + size > most:
+                    head, at = uid, 0
+                rows.append((uid, head, at, size))
+                at += size
+            yield pd.DataFrame(rows, columns=["uid", "bin", "place", "size"])
+
+    return map_batches(left.select("uid", "size").repartition(parts), run, "uid long, bin long, place long, size long")
+
+
 def pack(sizes: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """From rows (uid, size), each size from 1 to ``most``: uid, sequence_id, offset."""
-    spark = sizes.sparkSession
-    parts = shuffle_parts(spark)
-    whole = sizes.where(F.col("size") >= most).select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("place"), "size")
+    limit = shuffle_parts(sizes.sparkSession)
+    alone = F.lit(0).cast("long").alias("place")
+    whole = sizes.where(F.col("size") >= most).select("uid", F.col("uid").alias("bin"), alone, "size")
     units = sizes.where(F.col("size") < most).select("uid", "size")
     n, total = units.agg(F.count(F.lit(1)), F.sum("size")).first()
+    parts = lambda rows: max(1, min(limit, -(-rows // RANGE_ROWS)))
     bundles = None
     if n and n * most > MANY * total:
-        bundles = written(_bundled(units.where(F.col("size") <= SMALL), parts), "bundles")
+        bundles = written(_bundled(units.where(F.col("size") <= SMALL), parts(n)), "bundles")
         heads = bundles.groupBy(F.col("head").alias("uid")).agg(F.sum("size").alias("size"))
         units = written(heads.unionByName(units.where(F.col("size") > SMALL)), "units")
     placed: list[DataFrame] = [whole]
-    left, gaps = units, None
-    slow = True  # the last round matched next to nothing: sequences must be opened
+
+    def opened(df: DataFrame) -> DataFrame:
+        placed.append(df.select("uid", F.col("uid").alias("bin"), alone, "size"))
+        return df.select(F.col("uid").alias("bin"), (F.lit(most) - F.col("size")).alias("gap"))
+
+    # no two pieces of over half a sequence share one
+    gaps = opened(units.where(F.col("size") > most // 2))
+    left = units.where(F.col("size") <= most // 2)
+    n = left.count()
     while n:
-        if slow:
-            opened, left = _open(left, max(1, math.ceil(total / most)), most)
-            placed.append(opened.select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("place"), "size"))
-            new = opened.select(F.col("uid").alias("bin"), (F.lit(most) - F.col("size")).alias("gap"))
-            gaps = new if gaps is None else gaps.unionByName(new)
-        found, left, gaps = _round(left, gaps, parts, most)
+        found, left, gaps = _round(left, gaps, parts(n), most)
         placed.append(found)
         before = n
         n, total, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
-        if n:
-            gaps = gaps.where(F.col("gap") >= least)
-            slow = before - n < 0.02 * before + 1 or n <= 64
+        if not n:
+            break
+        gaps = gaps.where(F.col("gap") >= least)
+        if before - n < FEW * before + 1:
+            # the open sequences are used up
+            if total <= n * most / MANY:
+                placed.append(_strung(left, parts(n), most))
+                break
+            new, left = _open(left, max(1, math.ceil(total / most)), most)
+            gaps = gaps.unionByName(opened(new))
+            n = left.count()
     out = placed[0]
     for df in placed[1:]:
         out = out.unionByName(df)
