@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 from ..functions.timefn import overlaps_year
+from ..session import written
 from ..vocabulary import CATEGORIES, OTHER_CATEGORY
 
 
@@ -100,7 +101,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int = 4, year: int | No
     seen = front.withColumn("hops", F.lit(0))
     for hop in range(1, max_hops + 1):
         new = front.join(step, front["node_uid"] == step["source_uid"]).select("start_uid", F.col("target_uid").alias("node_uid")).distinct()
-        front = new.join(seen.select("start_uid", "node_uid"), ["start_uid", "node_uid"], "left_anti")
+        front = written(new.join(seen.select("start_uid", "node_uid"), ["start_uid", "node_uid"], "left_anti"), "front")
         seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
     return seen.where("hops > 0")
 

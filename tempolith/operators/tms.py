@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 MAX_RECORD_BYTES = 10_000
 
 
@@ -46,12 +48,12 @@ def durations(traces: DataFrame) -> DataFrame:
 def support_chain(beliefs: DataFrame, starts: DataFrame, max_depth: int = 32) -> DataFrame:
     """start_id, belief_id, depth: all beliefs upstream, each at its least depth."""
     links = beliefs.where("support_id is not null").select(F.col("belief_id").alias("child"), "support_id").distinct()
-    front = starts.select(F.col("belief_id").alias("start_id"), "belief_id").distinct()
+    front = written(starts.select(F.col("belief_id").alias("start_id"), "belief_id").distinct(), "front")
     seen = front.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         new = front.join(links, front["belief_id"] == links["child"]).select("start_id", F.col("support_id").alias("belief_id")).distinct()
-        front = new.join(seen.select("start_id", "belief_id"), ["start_id", "belief_id"], "left_anti")
-        if depth % 4 == 0 and front.isEmpty():
+        front = written(new.join(seen.select("start_id", "belief_id"), ["start_id", "belief_id"], "left_anti"), "front")
+        if front.isEmpty():
             break
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")
@@ -61,12 +63,12 @@ def retract(beliefs: DataFrame, retracted: DataFrame, max_depth: int = 32) -> Da
     """belief_id, status after retraction: active dependants become dirty, and the
     cascade stops at beliefs that are not active."""
     links = beliefs.where("support_id is not null and status = 'active'").select("support_id", F.col("belief_id").alias("child")).distinct()
-    front = retracted.select("belief_id").distinct()
+    front = written(retracted.select("belief_id").distinct(), "front")
     seen = front
-    for depth in range(1, max_depth + 1):
+    for _ in range(max_depth):
         new = front.join(links, front["belief_id"] == links["support_id"]).select(F.col("child").alias("belief_id")).distinct()
-        front = new.join(seen, "belief_id", "left_anti")
-        if depth % 4 == 0 and front.isEmpty():
+        front = written(new.join(seen, "belief_id", "left_anti"), "front")
+        if front.isEmpty():
             break
         seen = seen.unionByName(front)
     dirty = seen.join(retracted.select("belief_id"), "belief_id", "left_anti").withColumn("new", F.lit("dirty"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,45 @@ def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(f, schema)
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tempolith-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session leaves that unset (local mode, tests) is a temporary
+    folder of this process used.
+    """
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/tempolith-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there,
+    so a lost executor costs a re-read, not a recomputation."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._tempolith_path = path  # type: ignore[attr-defined]
+    return back
+
+
+def drop_written(*dfs: DataFrame) -> None:
+    """Remove tables of :func:`written` that no later step reads."""
+    for df in dfs:
+        path = getattr(df, "_tempolith_path", None)
+        if path:
+            jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, name: str = "tempolith") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
