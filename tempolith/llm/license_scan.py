@@ -35,6 +35,7 @@ from ..session import map_batches
 from .blobs import BYTE_WORDS
 from .mixing import mix64
 from .near_dedup import _powers
+from .suffix_dedup import LAST_ID
 
 SEED, LEAST = 3, 0.8
 STRETCH = 4 << 20
@@ -248,9 +249,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
                 for d, hits in t.hits(texts[at:end]).items():
                     rows += [(ids[at + d], *r) for r in t.scan(texts[at + d], hits)]
                 at = end
-            out = pd.DataFrame(rows, columns=["doc_id", "license", "start_word", "n_words", "matched", "template_words", "coverage"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "license", "start_word", "n_words", "matched", "template_words", "coverage"])
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("data")), run, FOUND)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    found = map_batches(docs.select(key.alias("id"), text.alias("data")), run, FOUND)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))

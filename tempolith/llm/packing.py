@@ -46,6 +46,8 @@ from ..session import map_batches
 from .shared import drop_written, shuffle_parts, written
 
 SEQUENCE = 2048
+#: Stands for null ids inside the operator.
+LAST_ID = (1 << 63) - 1
 #: Pieces up to SMALL tokens are strung together to bundles of up to twice that where a
 #: sequence would hold over MANY pieces on average, so that the number of rounds stays bounded.
 SMALL, MANY = 128, 8
@@ -143,11 +145,10 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, id_col: str =
                 for piece, (start, n) in enumerate(cut(len(ids) // 4, most)):
                     rows.append((k, doc_id, piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     k += 1
-            out = pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id")
+    return map_batches(docs.select(key, F.col(text_col).alias("text")), run, PIECES)
 
 
 STATE = "kind string, pid int, uid long, size long, bin long, gap long, rank long"
@@ -366,4 +367,5 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, id_
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = written(pieces(docs, vocabulary, most, id_col, text_col), "pieces")
     packed = pack(rows.select("uid", F.col("length").alias("size")), most)
-    return rows.join(packed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    real = F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id")
+    return rows.join(packed, "uid").select(real, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

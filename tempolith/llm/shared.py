@@ -3,14 +3,11 @@ intermediate tables, and byte helpers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import drop_written, fresh_path, shared_dir, written
+
+__all__ = ["WORD_RE", "WS_CHARS", "WS_RE", "drop_written", "fresh_path", "shared_dir", "shuffle_parts", "table", "written"]
 
 #: The white space of the contracts: blank and the five ASCII controls from tab to carriage return.
 WS_CHARS = " \t\n\x0b\f\r"
@@ -18,57 +15,9 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 WS_RE = r"[\x20\x09-\x0D]"
 
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="tempolith-")
-    atexit.register(shutil.rmtree, path, True)
-    return f"file://{path}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves that unset (local mode, tests) is a temporary
-    folder of this process used.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or _own_dir()).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tempolith-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there,
-    so a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tempolith_path = path  # type: ignore[attr-defined]
-    return back
-
-
-def drop_written(*dfs: DataFrame) -> None:
-    """Remove tables of :func:`written` that no later step reads."""
-    for df in dfs:
-        path = getattr(df, "_tempolith_path", None)
-        if path:
-            jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            fs = jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-            fs.delete(jvm_path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def with_columns_free(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the named columns, so that no other column can clash with the
-    operator's own; a column that is missing is an error of the caller."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import map_batches
 from .shared import written
+from .suffix_dedup import LAST_ID
 
 #: Importance below which a branch is template, the weight of content in it, and the pages a branch needs to be judged.
 LOW, CONTENT_WEIGHT, LEAST_PAGES = 0.2, 0.5, 5
@@ -236,7 +237,7 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of ``pages``."""
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    base = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     low = written(low_branches(base.select("host", "html")), "low")
     if low.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES:
         sets = low.groupBy(F.col("host").alias("l_host")).agg(F.collect_list("path").alias("low"))
@@ -257,9 +258,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     known[host] = {int(p) & (1 << 64) - 1 for p in low} if low is not None else set()
                 texts.append(Page(source).text(known[host]))
             out = pdf[["page_id", "url"]].copy()
-            out["page_id"] = out["page_id"].astype("Int64")
             out["text"] = texts
             out["n_chars"] = [len(t) for t in texts]
             yield out
 
-    return map_batches(marked.select("page_id", "url", "host", "html", "low"), run, "page_id long, url string, text string, n_chars long")
+    out = map_batches(marked.select("page_id", "url", "host", "html", "low"), run, "page_id long, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.when(F.col("page_id") != LAST_ID, F.col("page_id")))
