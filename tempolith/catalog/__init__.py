@@ -1,6 +1,6 @@
 """Queries over the star-schema tables, one for each operator, with SQL that says the same."""
 
 from .base import ORACLES, QUERIES
-from . import evaluation, graph, questions, ranking, texts, truth  # noqa: F401  (they register their queries)
+from . import evaluation, graph, questions, ranking, streams, texts, truth  # noqa: F401  (they register their queries)
 
 __all__ = ["ORACLES", "QUERIES"]
