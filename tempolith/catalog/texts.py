@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import timefn as tf
+from ..functions.timex import temporal_expressions
 from ..plans import nlg, planner
 from ..sources import projection as p
 from ..vocabulary import MARKERS
@@ -122,6 +123,15 @@ def op_f16_markers(spark: SparkSession, d: str) -> DataFrame:
     return p.read(spark, d, "documents").select("doc_id", *[t.has_marker(F.col("text"), k).alias(k) for k in MARKERS])
 
 
+@op("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders""")
+def op_d1_timex(spark: SparkSession, d: str) -> DataFrame:
+    """Dates that are written out in texts, found and normalised."""
+    day = F.col("o_orderdate")
+    text = F.concat(F.lit("It was ordered on "), F.date_format(day, "MMMM d, yyyy"), F.lit("."))
+    texts = p.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.to_date(day).alias("reference"))
+    return temporal_expressions(texts).where("type = 'DATE'").select("id", "value")
+
+
 _Q = """(SELECT p_partkey AS q_id, CASE p_partkey % 9 WHEN 0 THEN 'What likely caused ' || p_name || ' around 1998?' WHEN 1 THEN 'When did ' || p_name || ' first start?' WHEN 2 THEN 'How many suppliers had ' || p_name || ' in 1997?'
 WHEN 3 THEN 'Is there a path to ' || p_name || '?' WHEN 4 THEN 'Which came first, ' || p_name || ' or none?' WHEN 5 THEN 'Was ' || p_name || ' ordered in 1996?' WHEN 6 THEN 'If x rose, will ' || p_name || ' fall?' WHEN 7 THEN 'Who supplied ''1989'' in 2014?' ELSE 'Which was earlier, a or b?' END AS text FROM part)"""
 

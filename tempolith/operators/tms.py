@@ -109,3 +109,33 @@ def fire_triggers(contexts: DataFrame, rules: dict[str, str]) -> DataFrame:
     if out is None:
         raise ValueError("no trigger rules")
     return out
+
+
+def justification_paths(firings: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
+    """query_id, fact_id, path: the rules that lead back from a fact, nearest first.
+
+    Firings are (query_id, rule_id, input_fact, fact_id); a rule is used once on
+    a path; a path ends where no firing concludes its input, or at the depth.
+    """
+    made = firings.select("query_id", F.col("fact_id").alias("made"), "rule_id", "input_fact").distinct()
+    front = targets.select("query_id", "fact_id").distinct().select("query_id", "fact_id", F.col("fact_id").alias("at"), F.array().cast("array<string>").alias("path"))
+    done = None
+    for _ in range(max_depth):
+        step = front.join(made, "query_id").where((F.col("at") == F.col("made")) & ~F.array_contains("path", F.col("rule_id")))
+        grown = written(step.select("query_id", "fact_id", F.col("input_fact").alias("at"), F.concat("path", F.array("rule_id")).alias("path")).distinct(), "paths")
+        # what could not be prolonged is complete
+        last = grown.join(made.select("query_id", F.col("made").alias("at"), F.col("rule_id").alias("next")), ["query_id", "at"], "left")
+        open_ends = last.where(F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))).select("query_id", "fact_id", "at", "path").distinct()
+        ended = grown.join(open_ends, ["query_id", "fact_id", "at", "path"], "left_anti")
+        done = ended if done is None else done.unionByName(ended)
+        front = written(open_ends, "open")
+        if front.isEmpty():
+            break
+    out = done.unionByName(front).select("query_id", "fact_id", "path").distinct()
+    return out.where(F.size("path") > 0)
+
+
+def explain_fact(paths: DataFrame) -> DataFrame:
+    """query_id, fact_id, text: the paths of each fact in words."""
+    lines = F.sort_array(F.collect_set(F.array_join("path", " | ")))
+    return paths.groupBy("query_id", "fact_id").agg(F.array_join(lines, " || ").alias("text"))

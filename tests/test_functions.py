@@ -73,6 +73,15 @@ def test_beliefs(spark):
     assert chain == {"d": 1, "c": 2, "b": 3, "a": 4}
 
 
+def test_justification(spark):
+    rows = [("q", "r1", "a", "b"), ("q", "r2", "b", "c"), ("q", "r3", "x", "c"), ("q", "r4", "c", "b"), ("p", "r1", "a", "z")]
+    firings = spark.createDataFrame(rows, "query_id string, rule_id string, input_fact string, fact_id string")
+    paths = tms.justification_paths(firings, spark.createDataFrame([("q", "c")], "query_id string, fact_id string"))
+    # r4 concludes b from c again: a rule comes once on a path, so that way ends after r2, r4, r3
+    assert sorted(r.path for r in paths.collect()) == [["r2", "r1"], ["r2", "r4", "r3"], ["r3"]]
+    assert tms.explain_fact(paths).first().text == "r2 | r1 || r2 | r4 | r3 || r3"
+
+
 def test_mmr(spark):
     rows = [("q", f"e{i}", "s", "r" if i < 3 else "z", f"t{i}", 1.0 - i / 10, 0) for i in range(5)]
     c = spark.createDataFrame(rows, "q_id string, edge_uid string, source_uid string, relation string, target_uid string, score double, priority int")
