@@ -47,8 +47,10 @@ from .shared import drop_written, shuffle_parts, written
 
 WIDTH, GRAM = 100, 24
 #: Bytes of text that are hashed at a time, and that make a run.
-STRETCH, RUN = 1 << 21, 24 << 20
+STRETCH, RUN = 1 << 21, 16 << 20
 HOT = 100_000
+#: Windows that are compared at a time, beyond those of one anchor.
+SLICE = 200_000
 LAST_ID = (1 << 63) - 1
 
 KEYED = ["id", "th"]
@@ -78,7 +80,10 @@ def anchors_of(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
 
 
 def _dest(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    # anchors are minima, so their hashes crowd near zero: spread them first
+    with np.errstate(over="ignore"):
+        spread = h * np.uint64(0x9E3779B97F4A7C15)
+    return ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _slices(dest: np.ndarray, parts: int):
@@ -279,7 +284,8 @@ def _spans(id_: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray,
     rec = np.rec.fromarrays([id_, th, start, end], dtype=SPAN)
     bucket = np.abs(th % parts)
     order = np.argsort(bucket, kind="stable")
-    return [(2, d, pack_arrays(rec[order][s])) for d, s in _slices(bucket[order], parts)]
+    rec = rec[order]
+    return [(2, d, pack_arrays(rec[s])) for d, s in _slices(bucket[order], parts)]
 
 
 def _runs(parts: int, width: int):
@@ -411,9 +417,11 @@ def _merge(parts: int, width: int):
         pick = np.flatnonzero(several & (reps["hot"] == 0))
         # an interval lies in one slice, so that slices can be compared one by one
         cuts = np.flatnonzero(np.concatenate([[True], where[pick][1:] != where[pick][:-1]])) if len(pick) else np.empty(0, int)
-        k = 0
+        k, ends = 0, np.append(cuts[1:], len(pick))
+        windows = np.cumsum(reps["count"][pick].astype(np.int64))
         while k < len(cuts):
-            end = min(len(cuts), k + 2000)
+            done = windows[cuts[k] - 1] if cuts[k] else 0
+            end = max(k + 1, int(np.searchsorted(windows[ends - 1], done + SLICE, side="right")))
             rows = pick[cuts[k] : cuts[end] if end < len(cuts) else len(pick)]
             w = _window_rows([_text_of(texts[x], int(reps["back"][x])) for x in rows], reps[rows], width)
             out += _window_spans(_late_windows(w), width, parts)
