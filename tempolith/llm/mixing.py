@@ -181,8 +181,8 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD,
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = streams.select("row", "number", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    taken = parts.join(times, ["number", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    documents = sized.join(taken, "row", "left")
+    taken = parts.join(times.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    documents = sized.join(taken.hint("merge"), "row", "left")
     p = plan.select(F.col("source").alias("p_source"), "source_size", "target")
     documents = documents.join(p, F.col("source").eqNullSafe(F.col("p_source")))
     return documents.select("doc_id", "row", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), uses
