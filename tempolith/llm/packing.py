@@ -15,8 +15,12 @@ Bulk-synchronous best fit over a distributed table:
   settlement, one row to one row, so no piece goes to two gaps and no gap gets
   two pieces in a round;
 * gaps shrink by what they took, and the next round begins.  When a round
-  matches next to nothing, the largest pieces left open further sequences; if
-  only small ones are left by then, they are put one after another into new ones.
+  matches next to nothing, the largest pieces left open further sequences, as
+  many as the tokens left would fill;
+* where a sequence would hold over ``MANY`` of the pieces left, one piece a gap
+  would take too many rounds: pieces and gaps are then dealt by hash, anew each
+  round, and each share is settled by best fit from the largest piece down,
+  many pieces to a gap.  What finds no gap in its share meets others' next round.
 
 Only piece ids and sizes move, never texts or tokens; the driver sees counts
 per range.  Each round's state is a written table.
@@ -48,9 +52,10 @@ from .shared import drop_written, shuffle_parts, written
 SEQUENCE = 2048
 #: Stands for null ids inside the operator.
 LAST_ID = (1 << 63) - 1
-#: Pieces up to SMALL tokens are strung together to bundles of up to twice that where a
-#: sequence would hold over MANY pieces on average, so that the number of rounds stays bounded.
-SMALL, MANY = 128, 8
+#: Where a sequence would hold over MANY of the pieces left, a gap takes many pieces in a round.
+MANY = 8
+#: Up to so many of the pieces that open sequences are chosen exactly.
+EXACT = 4096
 #: Rows of a range in a round, and the share of matches under which further sequences are opened.
 RANGE_ROWS, FEW = 250_000, 0.02
 #: A worker's memory of encoded words is emptied at so many entries.
@@ -260,23 +265,47 @@ def _round(pieces_left: DataFrame, gaps: DataFrame, parts: int, most: int) -> tu
     return placed, left, open_gaps
 
 
-def _bundled(units: DataFrame, parts: int) -> DataFrame:
-    """uid, size -> head, place, uid, size: small pieces strung together in order of size;
-    every fourth stays loose, to fill the last gaps."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            loose = np.arange(len(pdf)) % 4 == 0
-            size = pdf["size"].to_numpy("int64")
-            total = np.cumsum(np.where(loose, 0, size))
-            group = np.where(loose, -1 - np.arange(len(pdf)), total // (2 * SMALL))
-            first = pd.Series(np.arange(len(pdf))).groupby(group).transform("first").to_numpy()
-            before = total - np.where(loose, 0, size)
-            place = np.where(loose, 0, before - before[first])
-            yield pd.DataFrame({"head": pdf["uid"].to_numpy()[first], "place": place, "uid": pdf["uid"], "size": size})
-
-    ranged = units.repartitionByRange(parts, "size", "uid").sortWithinPartitions("size", "uid")
-    return map_batches(ranged, run, "head long, place long, uid long, size long")
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One share of pieces and gaps: best fit from the largest piece down.  Pairs (kind M,
+    with the gap as it was found), pieces left (I), gaps left (G)."""
+    rows = [x for x in batches if len(x)]
+    if not rows:
+        return
+    pdf = pd.concat(rows, ignore_index=True)
+    pid, is_piece = TaskContext.get().partitionId(), pdf["bin"].isna().to_numpy()
+    todo, gaps = pdf[is_piece].sort_values(["size", "uid"], ascending=[False, True]), pdf[~is_piece].sort_values("bin")
+    bins_of: dict[int, list[int]] = {}
+    held = 0  # bit g is set where bins_of[g] has a bin
+    for b, gap in zip(gaps["bin"].astype("int64").tolist(), gaps["size"].tolist(), strict=True):
+        bins_of.setdefault(gap, []).append(b)
+        held |= 1 << gap
+    out: list[tuple] = []
+    for uid, size in zip(todo["uid"].astype("int64").tolist(), todo["size"].tolist(), strict=True):
+        fits = held >> size
+        if not fits:
+            out.append(("I", pid, uid, size, -1, -1, 0))
+            continue
+        gap = size + (fits & -fits).bit_length() - 1
+        b = bins_of[gap].pop()
+        if not bins_of[gap]:
+            held ^= 1 << gap
+        out.append(("M", pid, uid, size, b, gap, 0))
+        if gap > size:
+            bins_of.setdefault(gap - size, []).append(b)
+            held |= 1 << (gap - size)
+    out += [("G", pid, -1, gap, b, gap, 0) for gap, bins in bins_of.items() for b in bins]
+    yield pd.DataFrame(out, columns=["kind", "pid", "uid", "size", "bin", "gap", "rank"])
+
+
+def _fill(pieces_left: DataFrame, gaps: DataFrame, parts: int, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`_round`, with many pieces to a gap; ``turn`` deals anew."""
+    both = pieces_left.select("uid", "size", F.lit(None).cast("long").alias("bin")).unionByName(
+        gaps.select(F.lit(None).cast("long").alias("uid"), F.col("gap").alias("size"), "bin")
+    )
+    dealt = both.repartition(parts, F.xxhash64(F.coalesce("uid", "bin"), F.lit(turn)))
+    state = written(map_batches(dealt, _fit, STATE), "fill")
+    placed = state.where("kind = 'M'").select("uid", "bin", (F.lit(most) - F.col("gap")).alias("place"), "size")
+    return placed, state.where("kind = 'I'").select("uid", "size"), state.where("kind = 'G'").select("bin", "gap")
 
 
 def _open(left: DataFrame, n: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -289,43 +318,25 @@ def _open(left: DataFrame, n: int, most: int) -> tuple[DataFrame, DataFrame]:
             share = (n - above) / count
             break
         above += count
-    # where the share is of many, a little less: a later round opens what lacks
-    want = n - above
-    share = 1.0 if share >= 1 else max(min(share, 1 / max(1, want)), share - 2 * math.sqrt(want) * share / max(1, want))
-    chosen = (F.col("size") > at) | ((F.col("size") == at) & (F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(1 << 20)) <= int(share * (1 << 20))))
+    want, tie = n - above, F.xxhash64("uid", F.lit(7))
+    if share >= 1:
+        low = F.lit(True)
+    elif want <= EXACT:
+        low = tie <= left.where(F.col("size") == at).select(tie.alias("tie")).orderBy("tie").limit(want).agg(F.max("tie")).first()[0]
+    else:
+        # a little less: a later round opens what lacks
+        low = F.pmod(tie, F.lit(1 << 20)) <= int((share - 2 * math.sqrt(want) * share / want) * (1 << 20))
+    chosen = (F.col("size") > at) | ((F.col("size") == at) & low)
     return left.where(chosen), left.where(~chosen)
 
 
-def _strung(left: DataFrame, parts: int, most: int) -> DataFrame:
-    """Small pieces that fit no gap, put one after another into new sequences."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, at = None, most
-        for pdf in batches:
-            rows = []
-            for uid, size in zip(pdf["uid"].tolist(), pdf["size"].tolist(), strict=True):
-                if at + size > most:
-                    head, at = uid, 0
-                rows.append((uid, head, at, size))
-                at += size
-            yield pd.DataFrame(rows, columns=["uid", "bin", "place", "size"])
-
-    return map_batches(left.select("uid", "size").repartition(parts), run, "uid long, bin long, place long, size long")
-
-
 def pack(sizes: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """From rows (uid, size), each size from 1 to ``most``: uid, sequence_id, offset."""
     limit = shuffle_parts(sizes.sparkSession)
     alone = F.lit(0).cast("long").alias("place")
     whole = sizes.where(F.col("size") >= most).select("uid", F.col("uid").alias("bin"), alone, "size")
     units = sizes.where(F.col("size") < most).select("uid", "size")
-    n, total = units.agg(F.count(F.lit(1)), F.sum("size")).first()
     parts = lambda rows: max(1, min(limit, -(-rows // RANGE_ROWS)))
-    bundles = None
-    if n and n * most > MANY * total:
-        bundles = written(_bundled(units.where(F.col("size") <= SMALL), parts(n)), "bundles")
-        heads = bundles.groupBy(F.col("head").alias("uid")).agg(F.sum("size").alias("size"))
-        units = written(heads.unionByName(units.where(F.col("size") > SMALL)), "units")
     placed: list[DataFrame] = [whole]
 
     def opened(df: DataFrame) -> DataFrame:
@@ -335,9 +346,14 @@ def pack(sizes: DataFrame, most: int = SEQUENCE) -> DataFrame:
     # no two pieces of over half a sequence share one
     gaps = opened(units.where(F.col("size") > most // 2))
     left = units.where(F.col("size") <= most // 2)
-    n = left.count()
+    n, total = left.agg(F.count(F.lit(1)), F.sum("size")).first()
+    turn = 0
     while n:
-        found, left, gaps = _round(left, gaps, parts(n), most)
+        turn += 1
+        if n * most > MANY * total:
+            found, left, gaps = _fill(left, gaps, parts(n + gaps.count()), most, turn)
+        else:
+            found, left, gaps = _round(left, gaps, parts(n), most)
         placed.append(found)
         before = n
         n, total, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
@@ -346,20 +362,12 @@ def pack(sizes: DataFrame, most: int = SEQUENCE) -> DataFrame:
         gaps = gaps.where(F.col("gap") >= least)
         if before - n < FEW * before + 1:
             # the open sequences are used up
-            if total <= n * most / MANY:
-                placed.append(_strung(left, parts(n), most))
-                break
             new, left = _open(left, max(1, math.ceil(total / most)), most)
             gaps = gaps.unionByName(opened(new))
-            n = left.count()
+            n, total = left.agg(F.count(F.lit(1)), F.sum("size")).first()
     out = placed[0]
     for df in placed[1:]:
         out = out.unionByName(df)
-    if bundles is not None:
-        inner = bundles.select("head", F.col("uid").alias("member"), F.col("place").alias("inner"), F.col("size").alias("member_size"))
-        out = out.join(inner, out["uid"] == inner["head"], "left").select(
-            F.coalesce("member", "uid").alias("uid"), "bin", (F.col("place") + F.coalesce("inner", F.lit(0))).alias("place"), F.coalesce("member_size", "size").alias("size")
-        )
     return out.select("uid", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
 
 

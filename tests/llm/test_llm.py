@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small fixtures."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -233,6 +234,26 @@ def test_pack_sizes(spark, sizes):
     assert len(fill) <= 1.15 * least + 2
 
 
+@pytest.mark.parametrize("low, high, long", [(40, 160, 0), (60, 400, 0), (40, 300, 0.01)])
+def test_pack_short_documents(spark, low, high, long):
+    # within a hundredth of sequential best-fit-decreasing, though no gaps are open at first
+    rng = random.Random(high)
+    sizes = [rng.randint(1100, 1500) if rng.random() < long else rng.randint(low, high) for _ in range(12_000)]
+    free, best = [], 0
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(free, s)
+        gap = free.pop(at) if at < len(free) else 2048
+        best += gap == 2048
+        bisect.insort(free, gap - s)
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "uid long, size long")).collect()
+    fill = {}
+    for g in sorted(got, key=lambda g: (g.sequence_id, g.offset)):
+        assert fill.get(g.sequence_id, 0) == g.offset
+        fill[g.sequence_id] = g.offset + sizes[g.uid]
+    assert sorted(g.uid for g in got) == list(range(len(sizes))) and max(fill.values()) <= 2048
+    assert len(fill) <= 1.01 * best + 1
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs)[0].collect()
     size = {}
