@@ -13,7 +13,8 @@ Template that varies from page to page (menus, adverts, comments of readers)
 is known by what it is: elements such as ``nav`` or ``form``, and words in
 class, id and role.  Where a page marks its article, only that is read; prose
 elements inside it (paragraphs, headings, quotations) are never cut for being
-frequent, since pages may share passages.
+frequent, since pages may share passages.  Nor is a branch cut that holds the
+article, or without which a page has next to no prose left.
 
 The tree is never gathered: its nodes are counted by aggregations that combine
 before the shuffle, over one row for each page and branch; the verdicts are a
@@ -21,7 +22,8 @@ row for each cut branch of a host, broadcast if they are few and otherwise
 joined by host and a salt.
 
 Defined results: null html gives the empty text; pages without url share one
-host; text without any markup is one block; repeated rows count each; unclosed
+host; text without any markup is one block; repeated rows get a row each, but
+copies of a page (by digest) count once in the tree of their host; unclosed
 and stray tags are tolerated; an empty table gives an empty result; other
 columns are ignored.  Pages are read whole.
 """
@@ -44,6 +46,8 @@ from .suffix_dedup import LAST_ID
 #: Importance below which a branch is template, the weight of content in it, and the pages a branch needs to be judged.
 LOW, CONTENT_WEIGHT, LEAST_PAGES = 0.2, 0.5, 5
 BROADCAST_BRANCHES, SALTS = 100_000, 64
+#: Under that share of its prose a page has lost its text; text is prose in certain elements, and anywhere from so many characters.
+LOST, LONG = 0.25, 140
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -58,6 +62,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt li td th article main body html".split())
+PARAGRAPHS = frozenset("p blockquote pre figcaption article main".split())
 NOISE = frozenset("nav footer aside form menu dialog head script style template noscript iframe object svg math canvas audio video select button textarea".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert comment comments "
@@ -191,11 +196,52 @@ class Page:
                 out.append((self.path[node], xxhash.xxh64_intdigest(style), xxhash.xxh64_intdigest("\n".join(blocks).encode("utf-8", "replace"))))
         return out
 
-    def text(self, low: set[int]) -> str:
-        """The blocks of the article (or main part, or page) outside noise and cut branches."""
+    def _prose(self) -> list[tuple[int, int]]:
+        """(owner, characters) of the blocks of prose."""
+        out = []
+        for owner, block in self.blocks:
+            node = owner
+            while node and self.tag[node] not in BLOCK:
+                node = self.parent[node]
+            if self.tag[node] in PARAGRAPHS or len(block) >= LONG:
+                out.append((owner, len(block)))
+        return out
+
+    def _held(self, weights: list[tuple[int, int]]) -> list[int]:
+        """For each element the sum of the weights at and below it."""
+        held = [0] * len(self.tag)
+        for owner, n in weights:
+            held[owner] += n
+        for node in range(len(held) - 1, 0, -1):
+            held[self.parent[node]] += held[node]
+        return held
+
+    def _cut(self, branches: set[int]) -> list[bool]:
         cut = list(self.noise)
         for node in range(1, len(cut)):
-            cut[node] = cut[node] or cut[self.parent[node]] or (self.path[node] in low and self.tag[node] not in PROSE)
+            cut[node] = cut[node] or cut[self.parent[node]] or node in branches
+        return cut
+
+    def _cut_low(self, low: set[int]) -> list[bool]:
+        """What noise and low branches cut, without the branches that hold the article or most of a page's prose."""
+        branches = {node for node in range(1, len(self.tag)) if self.path[node] in low and self.tag[node] not in PROSE and not self.noise[node]}
+        if not branches:
+            return self._cut(branches)
+        marked = self._held([(node, 1) for node in range(len(self.tag)) if self.tag[node] in ("article", "main") and not self.noise[node]])
+        branches = {node for node in branches if not marked[node]}
+        prose = [(owner, n) for owner, n in self._prose() if not self.noise[owner]] or [(owner, len(block)) for owner, block in self.blocks if not self.noise[owner]]
+        total, held = sum(n for _, n in prose), self._held(prose)
+        # from the root down, largest holding first among siblings
+        for node in sorted(branches, key=lambda node: (-held[node], node)):
+            cut = self._cut(branches)
+            if sum(n for owner, n in prose if not cut[owner]) >= LOST * total or not held[node]:
+                break
+            branches.discard(node)
+        return self._cut(branches)
+
+    def text(self, low: set[int]) -> str:
+        """The blocks of the article (or main part, or page) outside noise and cut branches."""
+        cut = self._cut_low(low)
         good = [(owner, block) for owner, block in self.blocks if not cut[owner]]
         for scope in ("article", "main"):
             if any(self.inside[owner] == scope for owner, _ in good):
@@ -217,13 +263,16 @@ def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for host, source in zip(pdf["host"], pdf["html"], strict=True):
             if source:
-                rows += {(host, *map(_signed, b)) for b in Page(source).branches()}
-        yield pd.DataFrame(rows, columns=["host", "path", "style", "content"])
+                page = _signed(xxhash.xxh64_intdigest(source.encode("utf-8", "replace")))
+                rows += {(host, page, *map(_signed, b)) for b in Page(source).branches()}
+        yield pd.DataFrame(rows, columns=["host", "page", "path", "style", "content"])
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """From rows (host, html): host and path of each branch that is template."""
-    nodes = written(map_batches(pages, _branches, "host string, path long, style long, content long"), "branches")
+    rows = map_batches(pages, _branches, "host string, page long, path long, style long, content long")
+    # copies of a page give the same rows
+    nodes = written(rows.distinct(), "branches")
 
     def entropy(kind: str) -> DataFrame:
         counts = nodes.groupBy("host", "path", kind).agg(F.count(F.lit(1)).alias("c"))

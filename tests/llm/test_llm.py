@@ -331,6 +331,26 @@ def test_site_tree(spark):
     assert site_tree.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_site_tree_copies(spark):
+    page = lambda i, host, body: (i, f"http://{host}.example/{i}", body, None, None)
+    text = lambda i: f"<body><div class=top>Our site</div><div id=text><p>Story {i} is told at some length here.</p></div>"
+    rows = [page(i, "same", text(0)) for i in range(8)]
+    rows += [page(100 + i, "mixed", text(0) if i < 60 else text(i)) for i in range(80)]
+    # few texts, pages that differ elsewhere: the wrapper is low, but holds the only prose
+    rows += [page(1000 + i, "few", text(i % 2) + f"<nav>{i}</nav>") for i in range(400)]
+    # a marked article below a low wrapper
+    rows += [page(2000 + i, "marked", f"<body><div class=wrap><article>Read {i % 2}</article></div><nav>{i}</nav>") for i in range(400)]
+    got = {g.page_id: g.text for g in site_tree.extract_text(spark.createDataFrame(rows, PAGES).repartition(2)).collect()}
+    assert len(got) == len(rows)
+    for i in range(8):
+        assert "Story 0 is told" in got[i]
+    for i in range(80):
+        assert got[100 + i] == f"Story {0 if i < 60 else i} is told at some length here."
+    for i in range(400):
+        assert got[1000 + i] == f"Story {i % 2} is told at some length here."
+        assert got[2000 + i] == f"Read {i % 2}"
+
+
 def test_licenses(spark, docs, empty):
     rng = random.Random(2)
     mit = license_scan.TEMPLATES["mit-text"]
