@@ -11,7 +11,8 @@ every page of the host that has them.
 
 Template that varies from page to page (menus, adverts, comments of readers)
 is known by what it is: elements such as ``nav`` or ``form``, and words in
-class, id and role.  Where a page marks its article, only that is read; prose
+class, id and role.  Forms and words do not count on an element that holds the
+page's article or nearly all of its prose; the tree judges those.  Where a page marks its article, only that is read; unless most of the page's prose is outside; prose
 elements inside it (paragraphs, headings, quotations) are never cut for being
 frequent, since pages may share passages.  Nor is a branch cut that holds the
 article, or without which a page has next to no prose left.
@@ -71,6 +72,10 @@ NOISE_WORDS = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Of page headers; inside an article they hold its title.
+#: Noise by name or role only; the others are noise whatever they hold.
+NAMED = frozenset(["form"])
+#: What readers write may outweigh the article: it is text only where there is next to nothing else.
+READER_WORDS, NOTHING = frozenset("comment comments disqus reply replies respond".split()), 0.05
 HEADER_WORDS = frozenset(["header", "topbar", "hero"])
 #: An opening tag ends an open element of the first set, up to one of the second.
 ENDS = {
@@ -89,11 +94,14 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.path, self.parent, self.noise, self.inside, self.kids = ["#"], [0], [0], [False], [""], [[]]
+        #: What makes an element noise by itself: 0 nothing, 1 its form or words, 2 words of readers' comments, 3 what it is.
+        self.own = [0]
         self.blocks: list[tuple[int, str]] = []
         self._stack = [0]
         self._text: list[str] = []
         self._owner = 0
         self._read(source)
+        self._settle()
 
     def _flush(self) -> None:
         if self._text:
@@ -118,7 +126,7 @@ class Page:
 
     def _open(self, name: str, attributes: str) -> int:
         top = self._stack[-1]
-        label, words, noise = name, set(), self.noise[top] or name in NOISE
+        label, words, own = name, set(), (1 if name in NAMED else 3) if name in NOISE else 0
         inside = self.inside[top]
         if attributes and not attributes.isspace():
             a = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(attributes)}
@@ -127,16 +135,22 @@ class Page:
                 label += "." + kind
                 words = set(_WORDS.findall(_HUMP.sub(" ", kind).lower()))
             hidden = a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) is not None
-            noise = noise or hidden or a.get("role", "").lower() in NOISE_ROLES or (bool(words & NOISE_WORDS) and name not in ("html", "body", "article", "main")) or (name == "article" and bool(words & {"comment", "comments", "ad", "ads"}))
-        if not noise and inside != "article" and (name == "header" or (words & HEADER_WORDS and name not in ("html", "body", "article", "main"))):
-            noise = True
+            if hidden or (name == "article" and words & {"comment", "comments", "ad", "ads"}):
+                own = 3
+            elif words & NOISE_WORDS and name not in ("html", "body", "article", "main"):
+                own = max(own, 2 if words & READER_WORDS else 1)
+            if a.get("role", "").lower() in NOISE_ROLES:
+                own = max(own, 1)
+        if not own and inside != "article" and (name == "header" or (words & HEADER_WORDS and name not in ("html", "body", "article", "main"))):
+            own = 1
         if name == "article" or (name == "main" and inside != "article"):
             inside = name
         node = len(self.tag)
         self.tag.append(name)
         self.path.append(xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), self.path[top] & 0x7FFFFFFFFFFFFFFF))
         self.parent.append(top)
-        self.noise.append(noise)
+        self.own.append(own)
+        self.noise.append(self.noise[top] or own > 0)
         self.inside.append(inside)
         self.kids.append([])
         self.kids[top].append(name)
@@ -180,6 +194,37 @@ class Page:
             self._add(source[at:])
         self._flush()
 
+    def _spread(self, least: int = 1) -> list[bool]:
+        out = [False] * len(self.own)
+        for node in range(1, len(out)):
+            out[node] = out[self.parent[node]] or self.own[node] >= least
+        return out
+
+    def _settle(self) -> None:
+        """Take forms and words back where they would remove the article or nearly all prose."""
+        if not any(0 < x < 3 for x in self.own):
+            return
+        hard = self._spread(3)
+        prose = [(owner, n) for owner, n in self._prose() if not hard[owner]]
+        marks = [node for node in range(len(self.tag)) if self.tag[node] in ("article", "main") and not hard[node]]
+        bare = not prose
+        if bare:
+            prose = [(owner, len(block)) for owner, block in self.blocks if not hard[owner]]
+        total, held, mains = sum(n for _, n in prose), self._held(prose), self._held([(node, 1) for node in marks if self.tag[node] == "main"])
+        articles = self._held([(node, 1) for node in marks])
+        for node in range(1, len(self.own)):
+            if not 0 < self.own[node] < 3 or self.noise[self.parent[node]] or hard[node]:
+                continue
+            if any(not self.noise[m] for m in marks):
+                break
+            most = held[node] * 2 > total
+            holds = mains[node] or (articles[node] and most)
+            if not holds and most and (not bare or self.tag[node] in NAMED):
+                holds = sum(n for owner, n in prose if not self.noise[owner]) < (NOTHING if self.own[node] == 2 else LOST) * total
+            if holds:
+                self.own[node] = 0
+                self.noise = self._spread()
+
     def branches(self) -> list[tuple[int, int, int]]:
         """(path, presentation, content) of each element that could be cut: no prose, not known to be noise."""
         text: dict[int, list[str]] = {}
@@ -243,11 +288,35 @@ class Page:
         """The blocks of the article (or main part, or page) outside noise and cut branches."""
         cut = self._cut_low(low)
         good = [(owner, block) for owner, block in self.blocks if not cut[owner]]
-        for scope in ("article", "main"):
-            if any(self.inside[owner] == scope for owner, _ in good):
-                return "\n\n".join(block for owner, block in good if self.inside[owner] == scope or (scope == "main" and self.inside[owner] == "article"))
+        scope = self._scope(good)
+        if scope:
+            good = [(owner, block) for owner, block in good if self.inside[owner] in ("article", scope)]
         return "\n\n".join(block for _, block in good)
 
+    def _scope(self, good: list[tuple[int, str]]) -> str:
+        """The innermost of article, main part and page ('') that holds the prose: articles may be
+        cards beside it, so the longest one is compared with the prose that is outside them."""
+        held = {"main": 0, "": 0}
+        articles: dict[int, int] = {}
+        for owner, block in good:
+            if self.inside[owner] == "article":
+                node = top = owner
+                while node:
+                    if self.tag[node] == "article":
+                        top = node
+                    node = self.parent[node]
+                articles[top] = articles.get(top, 0) + len(block)
+        kept = {owner for owner, _ in good}
+        for owner, n in self._prose():
+            if owner in kept and self.inside[owner] != "article":
+                held[self.inside[owner]] += n
+        longest = max(articles.values(), default=0)
+        if articles and held["main"] <= longest and held[""] <= longest:
+            return "article"
+        if any(self.inside[owner] == "main" for owner, _ in good) and (held["main"] > longest or not articles):
+            return "main"
+        return "article" if articles and held[""] <= longest else ""
+
 
 def host_of(url):
     bare = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))

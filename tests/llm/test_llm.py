@@ -351,6 +351,29 @@ def test_site_tree_copies(spark):
         assert got[2000 + i] == f"Read {i % 2}"
 
 
+LONG = "A long story is told in this paragraph, and it goes on for quite a while. "
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div id='content-sidebar-wrap'><main><p>Story</p></main><div class=sidebar><p>side</p></div></div>", "Story"),
+        ("<div class='page has-sidebar'><article><p>Story</p></article><div class=menu><p>menu</p></div></div>", "Story"),
+        ("<div class='post share-enabled'><p>Story</p><div class=share><p>x</p></div></div>", "Story"),
+        ("<form id='aspnetForm'><div><p>Story</p></div><div class=footer><p>foot</p></div></form>", "Story"),
+        ("<form id='aspnetForm'><div>Story</div></form>", "Story"),
+        (f"<main><p>{LONG}</p><article>card one</article></main>", f"{LONG.strip()}\n\ncard one"),
+        # what was right stays
+        (f"<div class=post><p>Short story</p></div><div class=comments><p>{LONG}</p></div>", "Short story"),
+        ("<div class=post><p>Story</p></div><div class=related><article>card</article></div>", "Story"),
+        (f"<article><p>Story</p></article><div class=related><article><p>{LONG}</p></article></div>", "Story"),
+        ("<nav><p>menu</p></nav><div class=menu><a>one</a></div>", ""),
+    ],
+)
+def test_site_tree_wrappers(html, text):
+    assert site_tree.Page(f"<html><body>{html}</body></html>").text(set()) == text
+
+
 def test_licenses(spark, docs, empty):
     rng = random.Random(2)
     mit = license_scan.TEMPLATES["mit-text"]
