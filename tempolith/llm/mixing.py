@@ -4,10 +4,12 @@
   stream, cut into blocks of ``BLOCK`` words.  A document's place in the stream
   comes from a two-level prefix sum (documents within hash buckets, buckets
   within sources), so no task ever holds a source.
-* The mix is a number of output shards of ``SHARD`` slots.  Each shard draws how
-  many slots each source gets from a multinomial; the whole parts of the
-  expectations are given out first and only the rest is drawn, which keeps the
-  mix close to its targets at every size.
+* The mix is a number of output shards of ``SHARD`` slots.  A source's slots in
+  all of them are its rounded target.  In each shard the whole parts of the
+  expectations are given out first; chance only says which shards get the rest:
+  it is split without replacement (multivariate hypergeometric) between halves
+  of the shards, halves of those and so on, with a key for each split, so a shard
+  finds its part alone and the mix meets its targets at every size.
 * The t-th slot of a source takes the block that a keyed pseudorandom
   permutation (a Feistel network, walked until it falls inside the range; a new
   key each epoch) assigns to it, so a source is used up evenly, and no block is
@@ -125,23 +127,51 @@ def _streams(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.select("row", "doc_id", "size", "number", (F.col("base") + F.col("before")).alias("start"))
 
 
-def draw(shards: DataFrame, sources: list[tuple[int, float]], slots: int, shard: int, seed: int) -> DataFrame:
+def rounded(wanted: list[float]) -> list[int]:
+    """Whole numbers next to the wanted ones, with their rounded sum (largest remainders first)."""
+    low = [int(w + 1e-6) for w in wanted]
+    lack = int(round(sum(wanted))) - sum(low)
+    for i in sorted(range(len(low)), key=lambda i: low[i] - wanted[i])[: max(0, lack)]:
+        low[i] += 1
+    return low
+
+
+def split(rest: np.ndarray, lo: int, hi: int, room: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``rest`` (a number for each source) in shards lo to hi - 1, with ``room`` for each shard
+    but the last, the parts of the first and the second half."""
+    n = ((lo + hi) // 2 - lo) * room
+    chance = np.random.Generator(np.random.Philox(key=[seed, (lo << 32) + hi]))
+    first, left = np.zeros_like(rest), int(rest.sum())
+    for i in np.flatnonzero(rest):
+        left -= int(rest[i])
+        first[i] = chance.hypergeometric(rest[i], left, n)
+        n -= int(first[i])
+    return first, rest - first
+
+
+def draw(shards: DataFrame, sources: list[tuple[int, int]], slots: int, shard: int, seed: int) -> DataFrame:
     """From rows (id), one for each shard: shard, number (of the source), slots drawn.
 
-    ``sources``: number and expected share of the slots; the list has a row for each source.
+    ``sources``: number and slots of each source, ``slots`` in sum.
     """
-    numbers, share = np.array([n for n, _ in sources]), np.array([p for _, p in sources])
+    numbers, total = np.array([n for n, _ in sources]), np.array([t for _, t in sources], dtype=object)
+    n_shards = -(-slots // shard)
+    whole = lambda k: (total * min(shard, slots - k * shard) // max(1, slots)).astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = int(shard - whole(0).sum()) if n_shards > 1 else 0
+        path = [(0, n_shards, total.astype("int64") - whole(0) * (n_shards - 1) - whole(n_shards - 1))]
         for pdf in batches:
-            for k in pdf["id"]:
-                m = min(shard, slots - k * shard)
-                whole = np.floor(share * m)
-                rest = share * m - whole
-                left = int(m - whole.sum())
-                drawn = whole.astype("int64")
-                if left > 0 and rest.sum() > 0:
-                    drawn = drawn + np.random.Generator(np.random.Philox(key=[seed, int(k)])).multinomial(left, rest / rest.sum())
+            for k in pdf["id"].tolist():
+                # the splits that lead to shard k; shards of a task share most of them
+                while not path[-1][0] <= k < path[-1][1]:
+                    path.pop()
+                while path[-1][1] - path[-1][0] > 1:
+                    lo, hi, rest = path[-1]
+                    at = (lo + hi) // 2
+                    first, second = split(rest, lo, hi, room, seed)
+                    path.append((lo, at, first) if k < at else (at, hi, second))
+                drawn = whole(k) + path[-1][2]
                 yield pd.DataFrame({"shard": k, "number": numbers, "drawn": drawn})[drawn > 0]
 
     return map_batches(shards, run, "shard long, number int, drawn long")
@@ -159,10 +189,10 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD,
 
     # one row for each source, never one for each document, comes to the driver
     rows = [(r["number"], -(-r["source_size"] // block), r["target"], r["source_size"]) for r in plan.where("source_size > 0").orderBy("number").collect()]
-    wanted = [t * n / s for _, n, t, s in rows]
-    slots = int(round(sum(wanted)))
+    given = rounded([t * n / s for _, n, t, s in rows])  # never over MAX_EPOCHS * n, as no target is
+    slots = sum(given)
     blocks = {k: n for k, n, _, _ in rows}
-    share = [(k, w / sum(wanted)) for (k, *_), w in zip(rows, wanted, strict=True)]
+    share = [(k, g) for (k, *_), g in zip(rows, given, strict=True)]
     drawn = draw(spark.range(0, -(-slots // shard), 1, max(1, min(shuffle_parts(spark), -(-slots // shard)))), share, slots, shard, seed)
     order = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = written(drawn.withColumn("first", F.coalesce(F.sum("drawn").over(order), F.lit(0))), "drawn")
@@ -171,7 +201,7 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD,
         for pdf in batches:
             for s, number, count, first in zip(pdf["shard"], pdf["number"], pdf["drawn"], pdf["first"], strict=True):
                 n = blocks[number]
-                t = np.arange(first, min(first + count, MAX_EPOCHS * n), dtype=np.int64)
+                t = np.arange(first, first + count, dtype=np.int64)
                 key = mix64(np.uint64(seed) * np.uint64(1 << 32) + (t // n).astype(np.uint64) * np.uint64(1 << 20) + np.uint64(number))
                 yield pd.DataFrame({"shard": s, "slot": t, "number": number, "block": permuted(t % n, n, key)})
 

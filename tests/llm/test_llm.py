@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tempolith.llm")
 
@@ -282,6 +283,21 @@ def test_mixing(docs, rows, empty):
     assert mixing.resampled(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", [42, 43])
+def test_mixing_many_shards(spark, seed):
+    # tiny sources beside large ones, over hundreds of shards: each gets its rounded target
+    rng = random.Random(7)
+    size = {f"s{i:02}": n for i, n in enumerate([3000, 1, 1, 4000, 2, 3, 2500, 10, 40, 3500, 25, 5])}
+    rows = [(i, words(rng, 4), s) for i, s in enumerate(s for s, n in size.items() for _ in range(n))]
+    documents, uses = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=seed, block=4, shard=64)
+    slots = {r.number: r.n for r in uses.groupBy("number").agg(F.count("*").alias("n")).collect()}
+    per_shard = sorted(r.n for r in uses.groupBy("shard").agg(F.count("*").alias("n")).collect())
+    got = documents.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(got) == len(size) and per_shard[0] >= 1 and set(per_shard[1:]) == {64} and len(per_shard) > 200
+    for g in got:
+        assert abs(slots.get(sorted(size).index(g.source), 0) - g.t / 4) <= 1 and g.most <= 3 and abs(g.taken - g.t) <= 4, g
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
 def test_permutations(n):
     assert sorted(mixing.permuted(np.arange(n), n, np.uint64(n + 5))) == list(range(n))
