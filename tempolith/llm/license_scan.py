@@ -10,9 +10,11 @@ anchors are aligned the same way.  Coverage is the share of the template's
 words that are matched.  A region with ``LEAST`` coverage is reported; of
 regions that overlap, the one with more matched words wins.
 
-Any notice with that coverage keeps a run of three template words somewhere
-unless more than a fifth of the template is missing, so seeds lose nothing that
-is reported; templates shorter than a seed are a seed of their own.
+Changed or inserted words can break every seed of a notice that keeps that
+coverage.  So a region is also marked wherever a window of ``WIDE`` times the
+template's length holds enough of its words, each counted no more often than the
+template has it: no notice that spans no more than that window is lost.
+Templates shorter than a seed are a seed of their own.
 
 Defined results: null or wordless text has no rows; rows repeated outright are
 reported each; ties between templates go to the smaller name; an empty table
@@ -22,6 +24,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ from .mixing import mix64
 from .near_dedup import _powers
 from .suffix_dedup import LAST_ID
 
-SEED, LEAST = 3, 0.8
+SEED, LEAST, WIDE = 3, 0.8, 2
 STRETCH = 4 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -181,8 +184,30 @@ class Templates:
             rows.sort()
             self.by_length[k] = tuple(np.array(x, dtype) for x, dtype in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64), strict=True))
 
-    def hits(self, texts: list[bytes]) -> dict[int, dict[int, list[tuple[int, int]]]]:
-        """For each text and template, the (word of the text, word of the template) of seeds."""
+        self.counts = [Counter(w) for w in self.words]
+        self.least = [max(1, math.ceil(LEAST * len(w) - 1e-9)) for w in self.words]
+        hashes = [np.unique(word_hashes([b" ".join(w)])[0]) for w in self.words]
+        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+        self.member = np.stack([np.isin(self.vocabulary, x) for x in hashes]) if hashes else np.empty((0, 0), bool)
+
+    def windows(self, h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> dict[int, dict[int, list[int]]]:
+        """For each text and template, the words at which a window with enough of its words begins."""
+        out: dict[int, dict[int, list[int]]] = {}
+        if not len(h) or not len(self.vocabulary):
+            return out
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == h)
+        word = at[known]
+        for t, least in enumerate(self.least):
+            p = known[self.member[t][word]]
+            begin, end = p[: max(0, len(p) - least + 1)], p[least - 1 :]
+            for x in begin[(end - begin < WIDE * len(self.words[t])) & (doc[begin] == doc[end])].tolist():
+                d = int(doc[x])
+                out.setdefault(d, {}).setdefault(t, []).append(x - int(first[d]))
+        return out
+
+    def hits(self, texts: list[bytes]) -> tuple[dict[int, dict[int, list[tuple[int, int]]]], dict[int, dict[int, list[int]]]]:
+        """For each text and template, the (word of the text, word of the template) of seeds, and :meth:`windows`."""
         h, doc = word_hashes(texts)
         first = np.searchsorted(doc, np.arange(len(texts)))
         out: dict[int, dict[int, list[tuple[int, int]]]] = {}
@@ -198,9 +223,9 @@ class Templates:
                 while at < len(seeds) and seeds[at] == s[p]:
                     out.setdefault(d, {}).setdefault(int(template[at]), []).append((p - int(first[d]), int(place[at])))
                     at += 1
-        return out
+        return out, self.windows(h, doc, first)
 
-    def scan(self, text: bytes, hits: dict[int, list[tuple[int, int]]]) -> list[tuple]:
+    def scan(self, text: bytes, hits: dict[int, list[tuple[int, int]]], windows: dict[int, list[int]]) -> list[tuple]:
         """(name, start, words, matched, template words, coverage) of the notices of one text."""
         words = words_of(text)
         found = []
@@ -220,6 +245,24 @@ class Templates:
                     group = []
                 if x is not None:
                     group.append(x)
+        for t, begins in windows.items():
+            template, counts = self.words[t], self.counts[t]
+            n, step = len(template), len(template) // 4
+            # what seeds found of this template is not looked for again
+            taken = [(r[1], r[1] + r[2]) for r in found if r[0] == self.names[t]]
+            after = 0
+            for lo in begins:
+                if lo < after or any(a <= lo < b for a, b in taken):
+                    continue
+                hi = min([len(words), lo + WIDE * n + step, *(a for a, _ in taken if a > lo)])
+                after = lo + step
+                inside = Counter(w for w in words[lo:hi] if w in counts)
+                if sum(min(c, counts[w]) for w, c in inside.items()) < self.least[t]:
+                    continue
+                pairs = patience(words[lo:hi], template)
+                if len(pairs) >= self.least[t]:
+                    found.append((self.names[t], lo + pairs[0][0], pairs[-1][0] - pairs[0][0] + 1, len(pairs), n, len(pairs) / n))
+                    after = lo + pairs[-1][0] + 1
         found.sort(key=lambda r: (-r[3], r[0], r[1]))
         out: list[tuple] = []
         for r in found:
@@ -246,8 +289,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
                 while end < len(texts) and (end == at or size + len(texts[end]) <= STRETCH):
                     size += len(texts[end])
                     end += 1
-                for d, hits in t.hits(texts[at:end]).items():
-                    rows += [(ids[at + d], *r) for r in t.scan(texts[at + d], hits)]
+                hits, windows = t.hits(texts[at:end])
+                for d in sorted(hits.keys() | windows.keys()):
+                    rows += [(ids[at + d], *r) for r in t.scan(texts[at + d], hits.get(d, {}), windows.get(d, {}))]
                 at = end
             yield pd.DataFrame(rows, columns=["doc_id", "license", "start_word", "n_words", "matched", "template_words", "coverage"])
 

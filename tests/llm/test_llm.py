@@ -400,6 +400,17 @@ def test_licenses(spark, docs, empty):
     assert license_scan.license_scan(docs).count() == 0 == license_scan.license_scan(empty).count()
 
 
+def test_licenses_without_seeds(spark):
+    mit, short = license_scan.TEMPLATES["mit-text"].split(), "Released under the MIT License".split()
+    numbered = lambda ws: " ".join(f"{w} {i}" if i % 2 else w for i, w in enumerate(ws))
+    columns = " ".join(f"{w} col{i}" for i, w in enumerate(mit))
+    rng = random.Random(8)
+    rows = [(0, "Released under an MIT License"), (1, f"{words(rng, 90)} {numbered(mit)} {words(rng, 90)}"), (2, columns), (3, numbered(short)), (4, f"{words(rng, 40)} {columns}")]
+    rows += [(5, "Released under the terms of nobody"), (6, words(rng, 300))]
+    got = sorted((g.doc_id, g.license, g.coverage >= 0.8) for g in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "mit", True), (1, "mit-text", True), (2, "mit-text", True), (3, "mit", True), (4, "mit-text", True)]
+
+
 def test_patience():
     a, b = "a b c x d e f".split(), "b c d y e f a".split()
     pairs = license_scan.patience(a, b)
