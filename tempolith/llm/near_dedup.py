@@ -148,6 +148,13 @@ def _stretches(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         at = end
 
 
+def fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums of hashes for each text; those of texts without shingles mean nothing."""
+    with np.errstate(over="ignore"):
+        # the zero at the end keeps the bounds of blank texts there in range
+        return np.stack([np.add.reduceat(np.append(mix64(h ^ np.uint64(c)), np.uint64(0)), bounds[:-1]) for c in (0x1234567, 0xABCDEF0123)], axis=1)
+
+
 SKETCH = "id long, th long, n_shingles long, print binary, bands array<long>"
 
 
@@ -157,10 +164,7 @@ def _sketch(k: int):
             for pdf in _stretches(whole):
                 h, bounds = shingle_hashes(pdf["data"].tolist(), k)
                 n = np.diff(bounds)
-                at = np.minimum(bounds[:-1], max(len(h) - 1, 0))
-                with np.errstate(over="ignore"):
-                    sums = [np.add.reduceat(mix64(h ^ np.uint64(c)), at) if len(h) else np.zeros(len(n), np.uint64) for c in (0x1234567, 0xABCDEF0123)]
-                prints = np.stack(sums, axis=1)
+                prints = fingerprints(h, bounds)
                 keys = band_keys(super_min_hash(h, bounds))
                 yield pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "n_shingles": n, "print": [p.tobytes() for p in prints], "bands": list(keys)})
 

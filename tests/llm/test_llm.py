@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,16 @@ def test_near_star_is_not_enough(spark):
     assert got == sorted(near_brute(rows, 2))
 
 
+def test_near_blank_tail(spark):
+    # blank texts at the end of a stretch take nothing from the text before them
+    sketch = lambda *texts: next(near_dedup._sketch(2)(iter([pd.DataFrame({"id": range(len(texts)), "th": 0, "data": texts})])))["print"].tolist()
+    assert sketch(b"x y", b"a b c d", b"", b" ")[1] == sketch(b"a b c d")[0] == sketch(b"a b c d", b"x y")[0]
+    rows = [(0, "a b c"), (1, "a b c d"), (2, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((g.doc_id, g.n_shingles, g.component_id) for g in near_dedup.near_dedup(docs, 2).collect())
+    assert got == sorted(near_brute(rows, 2)) and got[1][2] == 1
+
+
 def test_super_min_hash():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
