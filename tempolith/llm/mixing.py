@@ -4,16 +4,18 @@
   stream, cut into blocks of ``BLOCK`` words.  A document's place in the stream
   comes from a two-level prefix sum (documents within hash buckets, buckets
   within sources), so no task ever holds a source.
-* The mix is a number of output shards of ``SHARD`` slots.  A source's slots in
-  all of them are its rounded target.  In each shard the whole parts of the
-  expectations are given out first; chance only says which shards get the rest:
-  it is split without replacement (multivariate hypergeometric) between halves
-  of the shards, halves of those and so on, with a key for each split, so a shard
-  finds its part alone and the mix meets its targets at every size.
+* The mix is a number of output shards of ``SHARD`` slots.  The sources of a
+  shard's slots are a multinomial draw; the draws of all shards are reconciled
+  with the targets without tolerance, that is, drawn on the condition that every
+  source's slots over all shards are its rounded target.  Multinomial draws under
+  that condition are a multivariate hypergeometric split of the slots: between
+  halves of the shards, halves of those and so on, with a key for each split, so a
+  shard finds its part alone.
 * The t-th slot of a source takes the block that a keyed pseudorandom
   permutation (a Feistel network, walked until it falls inside the range; a new
   key each epoch) assigns to it, so a source is used up evenly, and no block is
-  taken more often than there are epochs: at most ``MAX_EPOCHS``.
+  taken more often than there are epochs: at most ``MAX_EPOCHS``, as no target is
+  above that many times its source.
 * Slots are joined to the documents' blocks by (source, block index).
 
 Targets: sources in order of code points, null last, get weights 5, 2, 1, 5, ...
@@ -21,8 +23,10 @@ of all words; a target stops at three times its source's words and the excess
 is shared out again by weight, until none is above.
 
 Defined results: null or blank text has size 0 and is taken 0 times; repeated
-rows are documents of their own; an empty table gives an empty result; extra
-columns are ignored.  Everything is keyed by ``seed``: reruns agree.
+rows are documents of their own; ties in a stream's order are broken by id, size
+and place in the input; very long texts span many blocks, of which each is taken
+or not by itself; an empty table gives an empty result; extra columns are
+ignored, whatever their names.  Everything is keyed by ``seed``: reruns agree.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ from .shared import WORD_RE, shuffle_parts, written
 BLOCK, SHARD = 64, 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-BUCKETS = 1024
+#: Rows of a hash bucket of a source's stream, about.
+BUCKET_ROWS = 50_000
 _M = (1 << 64) - 1
 
 
@@ -101,21 +106,20 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD_RE)).cast("long").alias("size"),
         F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(11)).alias("place"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
     )
 
 
-def _streams(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def _streams(docs: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
     """Each document with words, its source's number and its first word's place in the source's stream."""
-    rows = docs.where("size > 0").withColumn("bucket", F.pmod("place", F.lit(BUCKETS)))
-    key = lambda d, p: d["source"].eqNullSafe(p["source"])
+    rows = docs.where("size > 0").withColumn("bucket", F.pmod("place", F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(order), F.lit(0)))
@@ -136,56 +140,70 @@ def rounded(wanted: list[float]) -> list[int]:
     return low
 
 
+#: The generator's exact draw ends here; larger numbers are drawn from its normal limit.
+EXACT = 1_000_000_000
+
+
+def hypergeometric(chance: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` things taken from good and bad ones are good."""
+    if good + bad < EXACT:
+        return int(chance.hypergeometric(good, bad, n))
+    share, total = good / (good + bad), good + bad
+    spread = (n * share * (1 - share) * (total - n) / max(1, total - 1)) ** 0.5
+    return int(min(good, n, max(0, n - bad, round(chance.normal(n * share, spread)))))
+
+
 def split(rest: np.ndarray, lo: int, hi: int, room: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of ``rest`` (a number for each source) in shards lo to hi - 1, with ``room`` for each shard
+    """Of ``rest`` (slots of each source) in shards lo to hi - 1, with ``room`` for each shard
     but the last, the parts of the first and the second half."""
     n = ((lo + hi) // 2 - lo) * room
     chance = np.random.Generator(np.random.Philox(key=[seed, (lo << 32) + hi]))
     first, left = np.zeros_like(rest), int(rest.sum())
     for i in np.flatnonzero(rest):
         left -= int(rest[i])
-        first[i] = chance.hypergeometric(rest[i], left, n)
+        first[i] = hypergeometric(chance, int(rest[i]), left, n)
         n -= int(first[i])
     return first, rest - first
 
 
 def draw(shards: DataFrame, sources: list[tuple[int, int]], slots: int, shard: int, seed: int) -> DataFrame:
-    """From rows (id), one for each shard: shard, number (of the source), slots drawn.
+    """From rows (id), one for each shard: shard, number (of the source), slots drawn, and
+    the source's slots in the shards before (first).
 
     ``sources``: number and slots of each source, ``slots`` in sum.
     """
-    numbers, total = np.array([n for n, _ in sources]), np.array([t for _, t in sources], dtype=object)
+    numbers, total = np.array([n for n, _ in sources]), np.array([t for _, t in sources], dtype="int64")
     n_shards = -(-slots // shard)
-    whole = lambda k: (total * min(shard, slots - k * shard) // max(1, slots)).astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        room = int(shard - whole(0).sum()) if n_shards > 1 else 0
-        path = [(0, n_shards, total.astype("int64") - whole(0) * (n_shards - 1) - whole(n_shards - 1))]
+        path = [(0, n_shards, total, np.zeros_like(total))]
         for pdf in batches:
             for k in pdf["id"].tolist():
                 # the splits that lead to shard k; shards of a task share most of them
                 while not path[-1][0] <= k < path[-1][1]:
                     path.pop()
                 while path[-1][1] - path[-1][0] > 1:
-                    lo, hi, rest = path[-1]
+                    lo, hi, rest, before = path[-1]
                     at = (lo + hi) // 2
-                    first, second = split(rest, lo, hi, room, seed)
-                    path.append((lo, at, first) if k < at else (at, hi, second))
-                drawn = whole(k) + path[-1][2]
-                yield pd.DataFrame({"shard": k, "number": numbers, "drawn": drawn})[drawn > 0]
+                    first, second = split(rest, lo, hi, shard, seed)
+                    path.append((lo, at, first, before) if k < at else (at, hi, second, before + first))
+                drawn, before = path[-1][2:]
+                yield pd.DataFrame({"shard": k, "number": numbers, "drawn": drawn, "first": before})[drawn > 0]
 
-    return map_batches(shards, run, "shard long, number int, drawn long")
+    return map_batches(shards, run, "shard long, number int, drawn long, first long")
 
 
-def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents, uses): documents has a row for each row of ``docs`` (doc_id, row, size,
-    source, source_size, target, taken); uses lists the mix itself, a row for each slot
-    (shard, slot of the source, number of the source, block)."""
-    spark = docs.sparkSession
-    sized = written(_sized(docs, id_col, text_col, source_col), "sized")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+Mix = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
+
+
+def _mix(sized: DataFrame, seed: int, block: int, shard: int) -> Mix:
+    """(sized, plan, streams, uses): uses has a row for each slot of the mix."""
+    spark = sized.sparkSession
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    plan = targets(sums.drop("n"))
     plan = written(plan.withColumn("number", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1)), "plan")
-    streams = written(_streams(sized, plan), "streams")
+    buckets = max(1, -(-sized.count() // BUCKET_ROWS))
+    streams = written(_streams(sized, plan, buckets), "streams")
 
     # one row for each source, never one for each document, comes to the driver
     rows = [(r["number"], -(-r["source_size"] // block), r["target"], r["source_size"]) for r in plan.where("source_size > 0").orderBy("number").collect()]
@@ -194,8 +212,6 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD,
     blocks = {k: n for k, n, _, _ in rows}
     share = [(k, g) for (k, *_), g in zip(rows, given, strict=True)]
     drawn = draw(spark.range(0, -(-slots // shard), 1, max(1, min(shuffle_parts(spark), -(-slots // shard)))), share, slots, shard, seed)
-    order = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = written(drawn.withColumn("first", F.coalesce(F.sum("drawn").over(order), F.lit(0))), "drawn")
 
     def slot_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,13 +221,26 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD,
                 key = mix64(np.uint64(seed) * np.uint64(1 << 32) + (t // n).astype(np.uint64) * np.uint64(1 << 20) + np.uint64(number))
                 yield pd.DataFrame({"shard": s, "slot": t, "number": number, "block": permuted(t % n, n, key)})
 
-    dealt = drawn.repartition(shuffle_parts(spark), "shard", "number")
-    uses = map_batches(dealt, slot_blocks, "shard long, slot long, number int, block long")
+    return sized, plan, streams, map_batches(drawn, slot_blocks, "shard long, slot long, number int, block long")
+
+
+def _taken_blocks(streams: DataFrame, uses: DataFrame, block: int) -> DataFrame:
+    """The documents' blocks joined to the slots by index: row, first and last word in it, times it is taken."""
     times = uses.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = streams.select("row", "number", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    taken = parts.join(times.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    lo, hi = F.greatest(F.lit(0), F.col("block") * block - F.col("start")), F.least("size", (F.col("block") + 1) * block - F.col("start"))
+    return parts.join(times.hint("merge"), ["number", "block"]).select("row", lo.alias("lo"), hi.alias("hi"), "times")
+
+
+def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(documents, uses): documents has a row for each row of ``docs`` (doc_id, row, size,
+    source, source_size, target, taken); uses lists the mix itself, a row for each slot
+    (shard, slot of the source, number of the source, block)."""
+    sized = written(_sized(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), "sized")
+    sized, plan, streams, uses = _mix(sized, seed, block, shard)
+    words = (F.col("hi") - F.col("lo")) * F.col("times")
+    taken = _taken_blocks(streams, uses, block).groupBy("row").agg(F.sum(words).alias("taken"))
     documents = sized.join(taken.hint("merge"), "row", "left")
     p = plan.select(F.col("source").alias("p_source"), "source_size", "target")
     documents = documents.join(p, F.col("source").eqNullSafe(F.col("p_source")))
@@ -223,16 +252,34 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, **options)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
-def resampled(docs: DataFrame, seed: int = 42, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` in the proportions of the mix, columns unchanged: each document as many
-    times as its words were taken, whole times at least, the fraction by a hash of its id."""
-    counted = mix(docs, seed=seed)[0]
-    share = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
-    luck = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = counted.select(F.col("doc_id").alias("m_id"), F.least(F.floor(share + luck), F.lit(MAX_EPOCHS)).cast("int").alias("m_times"))
-    # rows with one id (repeated rows) share their copies
-    copies = copies.groupBy("m_id").agg(F.max("m_times").alias("m_times")).where("m_times > 0")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), F.col(id_col).cast("long").alias("m_doc"))
-    found = whole.join(copies, whole["m_doc"].eqNullSafe(copies["m_id"]))
-    found = found.withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_times")))
-    return found.select(*[F.col("m_row").getField(c).alias(c) for c in docs.columns])
+def _stretches(blocks: DataFrame) -> DataFrame:
+    """row, lo, hi: the words of each epoch, where neighbouring blocks are one stretch."""
+    each = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    order = Window.partitionBy("row", "epoch").orderBy("lo")
+    each = each.withColumn("new", F.coalesce((F.lag("hi").over(order) != F.col("lo")).cast("int"), F.lit(1)))
+    each = each.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return each.groupBy("row", "epoch", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("row", "lo", "hi")
+
+
+def resampled(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of ``docs``: the blocks that the slots take, joined to
+    the documents' texts.  Blocks of a document that follow each other in one epoch are one row, so
+    a document that an epoch takes whole is one row with its text as it was; of others each
+    stretch of taken words is a row.  ``chars_col``, if there is one, is the length of the text.
+    A row without words has no blocks and no row here.  Rows that share an id stay apart."""
+    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole")
+    base = written(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows")
+    fields = base.select("row", *[F.col("whole").getField(c).alias(c) for c in dict.fromkeys((id_col, text_col, source_col))])
+    sized = written(_sized(fields, id_col, text_col, source_col, F.col("row")), "sized")
+    _, _, streams, uses = _mix(sized, seed, block, shard)
+    spans = _stretches(_taken_blocks(streams, uses, block)).join(sized.where("size > 0").select("row", "size"), "row")
+    found = base.join(spans.hint("merge"), "row")
+    text = F.col("whole").getField(text_col)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(words, (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), "")
+    taken = F.when((F.col("lo") == 0) & (F.col("hi") == F.col("size")), text).otherwise(F.regexp_replace(part, r"[\x20\x09-\x0D]+$", ""))
+    found = found.withColumn("taken", taken)
+    types = dict(docs.dtypes)
+    new = {text_col: F.col("taken"), chars_col: F.length("taken").cast(types.get(chars_col, "long"))}
+    return found.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in names])

@@ -5,36 +5,39 @@ Bulk-synchronous best fit over a distributed table:
 * every document is tokenised where it is read; only those longer than a
   sequence are cut, and the first piece takes the remainder, so all other
   pieces of it fill a sequence on their own;
-* pieces of over half a sequence open one each;
-* a *round* range-sorts the unplaced pieces and the gaps of open sequences
-  together by size and sweeps each range: a gap takes the largest free piece
-  that is no larger than itself (the successor relation, read from the piece's
-  side: the smallest gap that still holds it).  What a range cannot match, its
-  larger neighbours may: the ranges' surpluses (two numbers each) are settled
-  in order of size, and surplus pieces and gaps meet by their *rank* in that
-  settlement, one row to one row, so no piece goes to two gaps and no gap gets
-  two pieces in a round;
+* the pieces are range-sorted by size.  Every range ranks its rows and reports
+  how many it has of each size; the ranges' reports, added up in order, give each
+  piece its rank among those of its size.  Equal sizes are one run from there on;
+* a *round* lays the runs of unplaced pieces and the runs of open gaps in order
+  of size and sweeps them: a gap takes the largest free piece that is no larger
+  than itself (the successor relation, read from the piece's side: the smallest
+  gap that still holds it).  Where several gaps or pieces contend, *rank*
+  decides: a stretch of ranks meets a stretch of gaps one to one, so no piece
+  goes to two gaps.  A gap that holds several pieces of the run it meets, all of
+  which best fit would put there one after the other, takes them at once;
 * gaps shrink by what they took, and the next round begins.  When a round
   matches next to nothing, the largest pieces left open further sequences, as
   many as the tokens left would fill;
-* where a sequence would hold over ``MANY`` of the pieces left, one piece a gap
-  would take too many rounds: pieces and gaps are then dealt by hash, anew each
-  round, and each share is settled by best fit from the largest piece down,
-  many pieces to a gap.  What finds no gap in its share meets others' next round.
+* the rounds' verdicts are stretches (size, ranks, sequences, place), which every
+  range looks up for its own rows.
 
-Only piece ids and sizes move, never texts or tokens; the driver sees counts
-per range.  Each round's state is a written table.
+The rounds see counts for each size, at most ``most`` numbers however large the
+corpus is, so they need no job of their own; rows move once, in the range sort,
+and no row is placed but by a round.  The stretches are bounded by sizes and
+rounds, not by rows; over ``PLAN_ROWS`` of them are dealt to the ranges instead
+of being sent to every task.
 
 Defined results: null text is the empty text, one token (the closing id 0);
-rows with null or repeated ids are packed each on its own; an empty table gives
-an empty result; other columns are ignored.  Very long texts are tokenised
-whole, one at a time.
+special tokens that a text spells out get their own id, as the tokenizer has it;
+rows with null or repeated ids are packed each on its own (the id 2^63 - 1 is
+reserved and reads as null); ties in size are broken by place in the input; an
+empty table gives an empty result; other columns are ignored, whatever their
+names.  Very long texts are tokenised whole, one at a time.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 import struct
 import zlib
@@ -46,20 +49,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import map_batches
-from .shared import drop_written, shuffle_parts, written
+from ..session import map_batches, ship
+from .shared import drop_written, written
 
 SEQUENCE = 2048
 #: Stands for null ids inside the operator.
 LAST_ID = (1 << 63) - 1
-#: Where a sequence would hold over MANY of the pieces left, a gap takes many pieces in a round.
-MANY = 8
-#: Up to so many of the pieces that open sequences are chosen exactly.
-EXACT = 4096
-#: Rows of a range in a round, and the share of matches under which further sequences are opened.
+#: Rows of a range, and the share of gaps or pieces (the fewer) matched up to which further sequences are opened.
 RANGE_ROWS, FEW = 250_000, 0.02
-#: A worker's memory of encoded words is emptied at so many entries.
-WORD_MEMORY = 600_000
+#: Up to so many stretches are sent to every task.
+PLAN_ROWS = 500_000
+#: A worker's memory of encoded words is emptied at so many entries, and after each task.
+WORD_MEMORY = 200_000
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,7 +104,7 @@ class WordEncoder(dict):
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         ranks = _merge_ranks(path)
         self.piece = None
         if ranks:
@@ -118,7 +119,7 @@ class WordEncoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if self.piece and _PLAIN.fullmatch(text):
+        if self.piece and _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return b"".join(map(self.__getitem__, _TOKENS.findall(text)))
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -151,229 +152,178 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, id_col: str =
                     rows.append((k, doc_id, piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     k += 1
             yield pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.clear()
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id")
     return map_batches(docs.select(key, F.col(text_col).alias("text")), run, PIECES)
 
 
-STATE = "kind string, pid int, uid long, size long, bin long, gap long, rank long"
-
-
-def _pairs(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a sequence sorted by size (pieces before gaps of their size): which piece goes
-    to which gap if each gap takes the nearest free piece before it."""
-    depth = np.cumsum(np.where(is_piece, 1, -1))
-    level = np.where(is_piece, depth - 1, depth)
-    order = np.lexsort((np.arange(len(level)), level))
-    a, b = order[:-1], order[1:]
-    hit = (level[a] == level[b]) & is_piece[a] & ~is_piece[b]
-    return a[hit], b[hit]
-
-
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One range, sorted by size: matched pairs (kind M), then surplus pieces (I, rank
-    counted from the largest) and surplus gaps (G, rank from the smallest)."""
-    pid = TaskContext.get().partitionId()
-    rows = [x for x in batches if len(x)]
-    if not rows:
-        return
-    pdf = pd.concat(rows, ignore_index=True)
-    is_piece = pdf["bin"].isna().to_numpy()
-    p, g = _pairs(is_piece)
-    used = np.zeros(len(pdf), bool)
-    used[p] = used[g] = True
-    uid, size = pdf["uid"].fillna(-1).to_numpy("int64"), pdf["size"].to_numpy("int64")
-    bins = pdf["bin"].fillna(-1).to_numpy("int64")
-    out = lambda kind, u, s, b, gap, rank: pd.DataFrame({"kind": kind, "pid": pid, "uid": u, "size": s, "bin": b, "gap": gap, "rank": rank})
-    yield out("M", uid[p], size[p], bins[g], size[g], 0)
-    i = np.flatnonzero(is_piece & ~used)
-    yield out("I", uid[i], size[i], -1, -1, np.arange(len(i))[::-1])
-    j = np.flatnonzero(~is_piece & ~used)
-    yield out("G", -1, -1, bins[j], size[j], np.arange(len(j)))
-
-
-def _settle(surplus: dict[int, tuple[int, int]]) -> tuple[dict[int, list], dict[int, list]]:
-    """surplus: for each range, its free pieces and gaps (the gaps are all smaller).
-    Returns for each range the stretches (first rank, end rank, first match) of its pieces and of its gaps."""
-    pieces_of: dict[int, list] = {}
-    gaps_of: dict[int, list] = {}
-    free: list[list[int]] = []  # range, pieces taken, pieces
-    match = 0
-    for pid in sorted(surplus):
-        n_pieces, n_gaps = surplus[pid]
-        taken = 0
-        while taken < n_gaps and free:
-            top = free[-1]
-            n = min(n_gaps - taken, top[2] - top[1])
-            pieces_of.setdefault(top[0], []).append((top[1], top[1] + n, match))
-            gaps_of.setdefault(pid, []).append((taken, taken + n, match))
-            top[1] += n
-            taken += n
-            match += n
-            if top[1] == top[2]:
-                free.pop()
-        if n_pieces:
-            free.append([pid, 0, n_pieces])
-    return pieces_of, gaps_of
-
-
-def _rank_to_match(kind: pd.Series, pid: pd.Series, rank: pd.Series, pieces_of: dict, gaps_of: dict) -> np.ndarray:
-    out = np.full(len(rank), -1, dtype="int64")
-    r = rank.to_numpy("int64")
-    for k, stretches in (("I", pieces_of), ("G", gaps_of)):
-        for p in pid[kind == k].unique():
-            rows = np.flatnonzero((kind == k).to_numpy() & (pid == p).to_numpy())
-            if s := stretches.get(int(p)):
-                first, end, match = (np.array(x) for x in zip(*s, strict=True))
-                at = np.searchsorted(first, r[rows], side="right") - 1
-                ok = (at >= 0) & (r[rows] < end[at])
-                out[rows[ok]] = match[at[ok]] + r[rows[ok]] - first[at[ok]]
-    return out
-
-
-def _round(pieces_left: DataFrame, gaps: DataFrame, parts: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placements (uid, bin, place, size), pieces left, gaps left."""
-    both = pieces_left.select("uid", "size", F.lit(None).cast("long").alias("bin"), F.lit(0).alias("late")).unionByName(
-        gaps.select(F.lit(None).cast("long").alias("uid"), F.col("gap").alias("size"), "bin", F.lit(1).alias("late"))
-    )
-    tie = F.xxhash64(F.coalesce("uid", "bin"))
-    ranged = both.withColumn("tie", tie).repartitionByRange(parts, "size", "late", "tie").sortWithinPartitions("size", "late", "tie")
-    swept = written(map_batches(ranged.select("uid", "size", "bin"), _sweep, STATE), "sweep")
-    counts = swept.where("kind <> 'M'").groupBy("pid", "kind").count().collect()  # at most two rows for each range
-    surplus: dict[int, tuple[int, int]] = {}
-    for row in counts:
-        a, b = surplus.get(row["pid"], (0, 0))
-        surplus[row["pid"]] = (row["count"], b) if row["kind"] == "I" else (a, row["count"])
-    pieces_of, gaps_of = _settle(surplus)
-
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# --- ranks: range sort, counts for each range and size -----------------------
+
+
+def _ranked(sizes: DataFrame, parts: int) -> DataFrame:
+    """``sizes`` with pid (its range) and rank (among the rows of its size in that range)."""
+    ranged = sizes.repartitionByRange(parts, F.desc("size"), "uid").sortWithinPartitions(F.desc("size"), "uid")
+    schema = ", ".join(f"`{n}` {t}" for n, t in sizes.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid, last, done = TaskContext.get().partitionId(), -1, 0
         for pdf in batches:
-            pdf["match"] = _rank_to_match(pdf["kind"], pdf["pid"], pdf["rank"], pieces_of, gaps_of)
+            if not len(pdf):
+                continue
+            size = pdf["size"].to_numpy("int64")
+            first = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
+            rank = np.arange(len(size)) - np.repeat(first, np.diff(np.append(first, len(size))))
+            if size[0] == last:
+                rank[size == last] += done
+            last, done = int(size[-1]), int(rank[-1]) + 1
+            pdf["pid"], pdf["rank"] = pid, rank
             yield pdf
 
-    rest = map_batches(swept.where("kind <> 'M'"), ranked, STATE + ", match long")
-    met = rest.where("match >= 0").groupBy("match").agg(*[F.max(c).alias(c) for c in ("uid", "size", "bin", "gap")])
-    pairs = swept.where("kind = 'M'").select("uid", "size", "bin", "gap").unionByName(met.drop("match"))
-    state = pairs.select(F.lit("M").alias("kind"), "uid", "size", "bin", "gap").unionByName(
-        rest.where("match < 0").select("kind", "uid", "size", "bin", "gap")
-    )
-    state = written(state, "round")
-    drop_written(swept)
-    placed = state.where("kind = 'M'").select("uid", "bin", (F.lit(most) - F.col("gap")).alias("place"), "size")
-    left = state.where("kind = 'I'").select("uid", "size")
-    open_gaps = state.where("kind <> 'I'").select("bin", F.when(F.col("kind") == "M", F.col("gap") - F.col("size")).otherwise(F.col("gap")).alias("gap")).where("gap > 0")
-    return placed, left, open_gaps
-
-
-def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One share of pieces and gaps: best fit from the largest piece down.  Pairs (kind M,
-    with the gap as it was found), pieces left (I), gaps left (G)."""
-    rows = [x for x in batches if len(x)]
-    if not rows:
-        return
-    pdf = pd.concat(rows, ignore_index=True)
-    pid, is_piece = TaskContext.get().partitionId(), pdf["bin"].isna().to_numpy()
-    todo, gaps = pdf[is_piece].sort_values(["size", "uid"], ascending=[False, True]), pdf[~is_piece].sort_values("bin")
-    bins_of: dict[int, list[int]] = {}
-    held = 0  # bit g is set where bins_of[g] has a bin
-    for b, gap in zip(gaps["bin"].astype("int64").tolist(), gaps["size"].tolist(), strict=True):
-        bins_of.setdefault(gap, []).append(b)
-        held |= 1 << gap
-    out: list[tuple] = []
-    for uid, size in zip(todo["uid"].astype("int64").tolist(), todo["size"].tolist(), strict=True):
-        fits = held >> size
-        if not fits:
-            out.append(("I", pid, uid, size, -1, -1, 0))
-            continue
-        gap = size + (fits & -fits).bit_length() - 1
-        b = bins_of[gap].pop()
-        if not bins_of[gap]:
-            held ^= 1 << gap
-        out.append(("M", pid, uid, size, b, gap, 0))
-        if gap > size:
-            bins_of.setdefault(gap - size, []).append(b)
-            held |= 1 << (gap - size)
-    out += [("G", pid, -1, gap, b, gap, 0) for gap, bins in bins_of.items() for b in bins]
-    yield pd.DataFrame(out, columns=["kind", "pid", "uid", "size", "bin", "gap", "rank"])
-
-
-def _fill(pieces_left: DataFrame, gaps: DataFrame, parts: int, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As :func:`_round`, with many pieces to a gap; ``turn`` deals anew."""
-    both = pieces_left.select("uid", "size", F.lit(None).cast("long").alias("bin")).unionByName(
-        gaps.select(F.lit(None).cast("long").alias("uid"), F.col("gap").alias("size"), "bin")
-    )
-    dealt = both.repartition(parts, F.xxhash64(F.coalesce("uid", "bin"), F.lit(turn)))
-    state = written(map_batches(dealt, _fit, STATE), "fill")
-    placed = state.where("kind = 'M'").select("uid", "bin", (F.lit(most) - F.col("gap")).alias("place"), "size")
-    return placed, state.where("kind = 'I'").select("uid", "size"), state.where("kind = 'G'").select("bin", "gap")
-
-
-def _open(left: DataFrame, n: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """The ``n`` largest pieces (of those of the smallest size taken, a share by hash), the others."""
-    sizes = sorted(((r["size"], r["count"]) for r in left.groupBy("size").count().collect()), reverse=True)  # at most `most` rows
-    above, at, share = 0, 0, 1.0
-    for size, count in sizes:
-        at = size
-        if above + count >= n:
-            share = (n - above) / count
-            break
-        above += count
-    want, tie = n - above, F.xxhash64("uid", F.lit(7))
-    if share >= 1:
-        low = F.lit(True)
-    elif want <= EXACT:
-        low = tie <= left.where(F.col("size") == at).select(tie.alias("tie")).orderBy("tie").limit(want).agg(F.max("tie")).first()[0]
-    else:
-        # a little less: a later round opens what lacks
-        low = F.pmod(tie, F.lit(1 << 20)) <= int((share - 2 * math.sqrt(want) * share / want) * (1 << 20))
-    chosen = (F.col("size") > at) | ((F.col("size") == at) & low)
-    return left.where(chosen), left.where(~chosen)
+    return map_batches(ranged, run, f"{schema}, pid int, rank long")
+
+
+# --- rounds: runs of pieces and of gaps --------------------------------------
+
+
+class Rounds:
+    """Rounds of best fit over runs.  ``left``: pieces of each size that are not placed, taken
+    from rank 0 upwards; ``gaps``: for each gap the runs (first sequence, sequences) that have it.
+    ``plan`` collects stretches (size, first rank, pieces, first sequence, place)."""
+
+    def __init__(self, counts: dict[int, int], most: int):
+        self.most, self.left, self.next_rank = most, dict(counts), dict.fromkeys(counts, 0)
+        self.gaps: dict[int, list[tuple[int, int]]] = {}
+        self.sequences = 0
+        self.plan: list[tuple[int, int, int, int, int]] = []
+
+    def _put(self, size: int, n: int, first: int, place: int) -> None:
+        self.plan.append((size, self.next_rank[size], n, first, place))
+        self.next_rank[size] += n
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.left[size]
+
+    def open(self, size: int, n: int) -> None:
+        """``n`` pieces of a size begin a sequence each."""
+        self._put(size, n, self.sequences, 0)
+        if size < self.most:
+            self.gaps.setdefault(self.most - size, []).append((self.sequences, n))
+        self.sequences += n
+
+    def sweep(self) -> int:
+        """One round; the number of pieces that it placed."""
+        free: list[int] = []  # sizes with pieces, smallest first
+        placed, after = 0, {}
+        for size in sorted(set(self.left) | set(self.gaps)):
+            if size in self.left:
+                free.append(size)
+            for first, n in self.gaps.get(size, ()):
+                while n and free:
+                    piece = free[-1]
+                    have = self.left[piece]
+                    m = min(n, have)
+                    # as many for each gap as fit and as there are for all of them
+                    times = min(size // piece, have // m)
+                    for k in range(times):
+                        self._put(piece, m, first, self.most - size + k * piece)
+                    placed += m * times
+                    if rest := size - times * piece:
+                        after.setdefault(rest, []).append((first, m))
+                    first, n = first + m, n - m
+                    if piece not in self.left:
+                        free.pop()
+                if n:
+                    after.setdefault(size, []).append((first, n))
+        self.gaps = after
+        return placed
+
+    def run(self) -> None:
+        for size in sorted(self.left, reverse=True):
+            if 2 * size > self.most:  # no two of these share a sequence
+                self.open(size, self.left[size])
+        while self.left:
+            before = min(sum(self.left.values()), sum(n for runs in self.gaps.values() for _, n in runs))
+            placed = self.sweep()
+            if self.left:
+                least = min(self.left)
+                self.gaps = {g: runs for g, runs in self.gaps.items() if g >= least}
+                if placed <= FEW * before:
+                    # the open sequences are used up
+                    want = -(-sum(s * n for s, n in self.left.items()) // self.most)
+                    for size in sorted(self.left, reverse=True):
+                        n = min(want, self.left[size])
+                        self.open(size, n)
+                        placed, want = placed + n, want - n
+                        if not want:
+                            break
+            if not placed:
+                raise AssertionError("a round of packing placed nothing")
+
+
+def _placed(pdf: pd.DataFrame, plan: np.ndarray, base: dict[int, int]) -> pd.DataFrame:
+    """Rows of one range with their sequence and place; ``base``: its ranks' first number by size."""
+    size, rank = pdf["size"].to_numpy("int64"), pdf["rank"].to_numpy("int64")
+    kinds, which = np.unique(size, return_inverse=True)
+    rank = rank + np.array([base[int(s)] for s in kinds], np.int64)[which]
+    out_bin, out_place = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    lo, hi = np.searchsorted(plan[:, 0], kinds, side="left"), np.searchsorted(plan[:, 0], kinds, side="right")
+    for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+        rows = np.flatnonzero(which == k)
+        at = a + np.searchsorted(plan[a:b, 1], rank[rows], side="right") - 1
+        out_bin[rows], out_place[rows] = plan[at, 3] + rank[rows] - plan[at, 1], plan[at, 4]
+    pdf["sequence_id"], pdf["offset"] = out_bin, out_place
+    return pdf
 
 
 def pack(sizes: DataFrame, most: int = SEQUENCE) -> DataFrame:
-    """From rows (uid, size), each size from 1 to ``most``: uid, sequence_id, offset."""
-    limit = shuffle_parts(sizes.sparkSession)
-    alone = F.lit(0).cast("long").alias("place")
-    whole = sizes.where(F.col("size") >= most).select("uid", F.col("uid").alias("bin"), alone, "size")
-    units = sizes.where(F.col("size") < most).select("uid", "size")
-    parts = lambda rows: max(1, min(limit, -(-rows // RANGE_ROWS)))
-    placed: list[DataFrame] = [whole]
-
-    def opened(df: DataFrame) -> DataFrame:
-        placed.append(df.select("uid", F.col("uid").alias("bin"), alone, "size"))
-        return df.select(F.col("uid").alias("bin"), (F.lit(most) - F.col("size")).alias("gap"))
-
-    # no two pieces of over half a sequence share one
-    gaps = opened(units.where(F.col("size") > most // 2))
-    left = units.where(F.col("size") <= most // 2)
-    n, total = left.agg(F.count(F.lit(1)), F.sum("size")).first()
-    turn = 0
-    while n:
-        turn += 1
-        if n * most > MANY * total:
-            found, left, gaps = _fill(left, gaps, parts(n + gaps.count()), most, turn)
-        else:
-            found, left, gaps = _round(left, gaps, parts(n), most)
-        placed.append(found)
-        before = n
-        n, total, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
-        if not n:
-            break
-        gaps = gaps.where(F.col("gap") >= least)
-        if before - n < FEW * before + 1:
-            # the open sequences are used up
-            new, left = _open(left, max(1, math.ceil(total / most)), most)
-            gaps = gaps.unionByName(opened(new))
-            n, total = left.agg(F.count(F.lit(1)), F.sum("size")).first()
-    out = placed[0]
-    for df in placed[1:]:
-        out = out.unionByName(df)
-    return out.select("uid", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    """Rows (uid, size from 1 to ``most``, ...) with their sequence_id and offset."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in sizes.dtypes)
+    ranked = written(_ranked(sizes, max(1, -(-sizes.count() // RANGE_ROWS))), "ranked")
+    # a row for each range and size that it has: as many as sizes and ranges together
+    reports = sorted(ranked.groupBy("pid", "size").count().collect())
+    counts: dict[int, int] = {}
+    base: dict[int, dict[int, int]] = {}
+    for pid, size, n in reports:
+        base.setdefault(pid, {})[size] = counts.get(size, 0)
+        counts[size] = counts.get(size, 0) + n
+    rounds = Rounds(counts, most)
+    rounds.run()
+    plan = np.array(sorted(rounds.plan), np.int64).reshape(-1, 5)
+    out = f"{schema}, sequence_id long, offset long"
+    if len(plan) <= PLAN_ROWS:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for pid, rows in pdf.groupby("pid", sort=False):
+                    yield _placed(rows.copy(), plan, base[int(pid)]).drop(columns=["pid", "rank"])
+
+        return map_batches(ranked, run, out)
+
+    def parts_of() -> Iterator[tuple[int, bytes, int]]:
+        """Each range's stretches."""
+        for pid, sizes_of in base.items():
+            mine = plan[np.isin(plan[:, 0], list(sizes_of))]
+            first = np.array([sizes_of[s] for s in mine[:, 0].tolist()], np.int64)
+            last = first + np.array([here[pid, s] for s in mine[:, 0].tolist()], np.int64)
+            mine = mine[(mine[:, 1] < last) & (mine[:, 1] + mine[:, 2] > first)]
+            yield pid, mine.tobytes(), len(mine)
+
+    here = {(pid, size): n for pid, size, n in reports}
+    dealt = sizes.sparkSession.createDataFrame(pd.DataFrame(parts_of(), columns=["p_pid", "stretches", "n"]), "p_pid int, stretches binary, n long")
+
+    def one(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        pid = int(rows["pid"].iloc[0])
+        return _placed(rows, np.frombuffer(mine["stretches"].iloc[0], np.int64).reshape(-1, 5), base[pid]).drop(columns=["pid", "rank"])
+
+    ship(sizes.sparkSession)
+    return ranked.groupBy("pid").cogroup(dealt.groupBy("p_pid")).applyInPandas(one, out)
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = written(pieces(docs, vocabulary, most, id_col, text_col), "pieces")
-    packed = pack(rows.select("uid", F.col("length").alias("size")), most)
+    packed = pack(rows.withColumn("size", F.col("length")), most)
+    drop_written(rows)
     real = F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id")
-    return rows.join(packed, "uid").select(real, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select(real, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

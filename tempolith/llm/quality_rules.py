@@ -4,16 +4,23 @@ Each document gets counts and hard rules of its own.  A second, softer set of
 rules is aggregated by host (the ``source`` column): failures per host are
 shrunk towards the corpus by an empirical beta prior (method of moments over
 the hosts' rates), so that a host with three documents is not condemned by two
-of them.  Documents of a host whose shrunk rate reaches ``HOST_RATE`` are
-rejected; all others stand by their own verdict.
+of them.  What remains of a host is its beta posterior, and two verdicts come
+from it, joined back to the host's documents:
+
+* *suspect*: the posterior's lower quartile is above the prior's mean, so odds are
+  three to one that the host fails more often than the corpus does.  Its documents
+  have to pass the soft rules as well; documents of other hosts are forgiven a
+  soft failure;
+* *bad*: the posterior's first percentile is above ``BAD_RATE``.  All documents of
+  the host go.
 
 Defined results: null text has no words and fails; a null host is a host of its
-own; repeated rows count each time; ties do not matter.  An empty table gives
-an empty result.  Extra columns are ignored.
+own; repeated rows count each time; ties do not matter (verdicts come from counts).
+An empty table gives an empty result.  Extra columns are ignored, whatever their names.
 
 Long texts: a text is one row, its words one array; repeated windows are found
-by comparing the number of distinct window hashes first, and only texts that
-have repeats pay for a sort.
+by comparing the number of distinct windows first, and only texts that have
+repeats pay for a sort.  Windows are compared as words, not by hash.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Soft rules: share of symbols in the characters of words, share of repeated lines, mean length of words.
 SOFT_SYMBOL_SHARE, SOFT_DUP_LINE_SHARE, SOFT_WORD_CHARS = 0.1, 0.3, (2.0, 16.0)
-#: A host is rejected from this shrunk failure rate on.
-HOST_RATE = 0.9
+#: Standard deviations below a posterior's mean of its lower quartile and its first percentile, and the failure rate of bad hosts.
+SUSPECT_Z, BAD_Z, BAD_RATE = 0.674, 2.326, 0.5
 #: Host tables up to so many rows are broadcast; above, the join shuffles.
 BROADCAST_HOSTS = 100_000
 
@@ -63,7 +70,7 @@ def _repeat_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(_let(order, starts), length))
 
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
     return F.when(n <= WINDOW, F.lit(0).cast("long")).otherwise(_let(windows, covered))
 
 
@@ -102,7 +109,7 @@ def soft_failed(r: Column) -> Column:
 
 
 def host_verdicts(rules: DataFrame) -> DataFrame:
-    """From rows (host, failed): host, docs, fails, shrunk rate, bad.  One row per host."""
+    """From rows (host, failed): host, docs, fails, shrunk_rate, suspect, bad.  One row per host."""
     hosts = rules.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("failed").cast("long")).alias("fails"))
     hosts = written(hosts.withColumn("rate", F.col("fails") / F.col("docs")), "hosts")
     # beta prior by moments over the hosts: mean and strength
@@ -111,17 +118,24 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
     )
     strength = F.least(F.greatest(F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(100.0)), F.lit(2.0)), F.lit(1000.0))
     prior = prior.select("m", strength.alias("k"))  # one row
-    shrunk = (F.col("fails") + F.col("m") * F.col("k")) / (F.col("docs") + F.col("k"))
-    return hosts.join(F.broadcast(prior)).withColumn("shrunk_rate", shrunk).withColumn("host_bad", F.col("shrunk_rate") >= HOST_RATE)
+    a, n = F.col("fails") + F.col("m") * F.col("k"), F.col("docs") + F.col("k")
+    # mean and deviation of the beta posterior
+    mean, spread = a / n, F.sqrt(a * (n - a) / (n * n * (n + 1)))
+    out = hosts.join(F.broadcast(prior)).withColumn("shrunk_rate", mean)
+    return out.withColumn("suspect", mean - SUSPECT_Z * spread > F.col("m")).withColumn("bad", mean - BAD_Z * spread > BAD_RATE)
 
 
 def _with_hosts(df: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``df`` (with column q_host) joined to the verdicts; q_host_bad is never null."""
-    bad = hosts.where("host_bad").select(F.col("host").alias("bad_host"), F.lit(True).alias("q_host_bad"))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    joined = df.join(bad, F.col("q_host").eqNullSafe(F.col("bad_host")), "left").drop("bad_host")
-    return joined.withColumn("q_host_bad", F.coalesce("q_host_bad", F.lit(False)))
+    """``df`` (with column q_host) joined to the verdicts: q_suspect and q_bad, never null."""
+    known = hosts.where("suspect or bad").select(F.col("host").alias("q_known"), F.col("suspect").alias("q_suspect"), F.col("bad").alias("q_bad"))
+    if known.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        known = F.broadcast(known)
+    joined = df.join(known, F.col("q_host").eqNullSafe(F.col("q_known")), "left").drop("q_known")
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("q_suspect", "q_bad")})
+
+
+def _verdict(base: Column, soft: Column) -> Column:
+    return ~base & ~F.col("q_bad") & ~(F.col("q_suspect") & soft)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -135,18 +149,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id",
         *[F.col(f"q_rules.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
-        (~F.col("base_failed") & ~F.col("q_host_bad")).alias("kept"),
+        _verdict(F.col("base_failed"), F.col("failed")).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` without rejected rows, columns unchanged.  The rules run twice
-    (once for the hosts, once to filter) rather than shuffling the texts."""
+    """``docs`` without rejected rows, columns unchanged.  Rows that pass the hard rules are
+    written once with their soft verdict, so the rules run once and no text is shuffled."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     slim = with_rules(docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("q_host"), whole))
     r = F.col("q_rules")
-    hosts = written(host_verdicts(slim.select(F.col("q_host").alias("host"), soft_failed(r).alias("failed"))), "verdicts")
-    kept = _with_hosts(slim.where(~base_failed(r)), hosts).where(~F.col("q_host_bad"))
+    base = base_failed(r)
+    # a row that fails the hard rules counts for its host, but its columns need not be kept
+    judged = slim.select("q_host", F.when(~base, F.col("whole")).alias("whole"), base.alias("base"), soft_failed(r).alias("failed"))
+    judged = written(judged, "judged")
+    hosts = written(host_verdicts(judged.select(F.col("q_host").alias("host"), "failed")), "verdicts")
+    kept = _with_hosts(judged.where("not base"), hosts).where(_verdict(F.lit(False), F.col("failed")))
     return kept.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
@@ -182,10 +200,14 @@ WITH w AS (
 ), p AS (
   SELECT m, least(greatest(coalesce(m * (1 - m) / nullif(v, 0) - 1, 100.0), 2.0), 1000.0) AS k
   FROM (SELECT least(greatest(avg(rate), 1e-4), 1 - 1e-4) AS m, var_samp(rate) AS v FROM h)
+), b AS (
+  SELECT source, m, fails + m * k AS a, docs + k AS n FROM h, p
+), l AS (
+  SELECT source, m, a / n AS mean, sqrt(a * (n - a) / (n * n * (n + 1))) AS spread FROM b
 ), v AS (
-  SELECT source, (fails + m * k) / (docs + k) >= 0.9 AS bad FROM h, p
+  SELECT source, mean - 0.674 * spread > m AS suspect, mean - 2.326 * spread > 0.5 AS bad FROM l
 )
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT v.bad AS kept
+       NOT base_failed AND NOT v.bad AND NOT (v.suspect AND s.failed) AS kept
 FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
 """

@@ -1,9 +1,9 @@
 """WARC archives with a two-level capture index.
 
-Writing: pages are range-partitioned by (reversed-host URL key, id).  The
+Writing: pages are range-partitioned by (reversed-host URL key, id, digest).  The
 verdicts "this payload was first captured by page x", which come from an
 aggregation over digests, travel in the same shuffle as rows of their own that
-sort just before their page, so the payloads are shuffled once.  Each task
+sort just before the pages they are about, so the payloads are shuffled once.  Each task
 writes one archive of gzip members, one for each record, under a name of its
 own attempt; the index rows name the file that was written, so a task that is
 run again leaves the index whole.
@@ -13,16 +13,19 @@ their index lines in compressed blocks of ``BLOCK`` lines beside the archive,
 and a sparse directory with the first key of each block; a table lists the
 first key of each directory, one row for each task.
 
-Reading: a lookup finds its directory by binary search among the directories'
+Reading: a lookup finds its directories by binary search among the directories'
 first keys, its block by binary search in the directory, its line by binary
 search in the block, and reads the record's range from the archive.  Lookups
 are dealt by directory and sorted, so each block is read once.
 
 Defined results: null html is the empty payload; payloads under ``REVISIT_FROM``
 bytes are always responses; null urls have the empty key and null ids come
-last; of rows repeated outright (same id, url and payload) the archive holds a
-record each, the first a response and the others revisits of it.  No pages
-give no archives and an empty result.  Other columns are ignored.
+last (the id 2^63 - 1 is reserved for them and reads as null).  Of rows with the
+smallest id and an equal payload, the one with the smallest key is the response,
+of rows repeated outright the first; all others are written as revisits of it,
+and read back as such.  Rows that share an id but not a payload are captures of
+their own.  Very long payloads are one record each.  No pages give no archives
+and an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
@@ -151,17 +154,19 @@ def _clean(key: str) -> str:
 
 def _write(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        archive, verdict = None, None
+        archive, verdict, last = None, None, None
         for pdf in batches:
             for key, i, kind, url, data, digest, refers in zip(*(pdf[c] for c in ("key", "id", "kind", "url", "payload", "digest", "refers_to")), strict=True):
                 if kind == 0:
-                    verdict = (key, i, None if pd.isna(refers) else int(refers))
+                    verdict = (key, i, digest, int(refers))
                     continue
-                refers_to = verdict[2] if verdict and verdict[:2] == (key, i) else None
+                refers_to = verdict[3] if verdict and verdict[:3] == (key, i, digest) else None
+                if refers_to is None and len(data) >= REVISIT_FROM and last == (key, i, digest):
+                    refers_to = i  # a row repeated outright
+                last = (key, i, digest)
                 archive = archive or _Archive(folder)
-                uri = _clean(url or "")
                 kind_of = "response" if refers_to is None else "revisit"
-                archive.add(key, i, record(kind_of, uri, i, data, len(data), digest, refers_to))
+                archive.add(key, i, record(kind_of, _clean(url or ""), i, data, len(data), digest, refers_to))
         if archive:
             archive.close()
             yield pd.DataFrame([(archive.name, *archive.first, archive.count, archive.at)], columns=["name", "first_key", "first_id", "records", "bytes"])
@@ -178,7 +183,7 @@ class Captures:
 
 
 def with_keys(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    """key and id of each row; rows repeated outright get ids of their own by a number in front of the key's end."""
+    """key and id of each row."""
     return pages.select(F.regexp_replace(url_key(F.col(url_col)), r"[\t\n\r]", " ").alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"))
 
 
@@ -192,13 +197,15 @@ def write_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         payload.alias("payload"),
         F.sha2(payload, 256).alias("digest"),
     )
-    small = written(base.select("key", "id", "digest", F.octet_length("payload").alias("n")), "captures")
-    first = small.where(F.col("n") >= REVISIT_FROM).groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = small.where(F.col("n") >= REVISIT_FROM).join(first, "digest").where("id <> refers_to")
+    long_ones = base.where(F.octet_length("payload") >= REVISIT_FROM).select("key", "id", "digest")
+    small = written(long_ones.distinct(), "captures")
+    # the response of a digest: the smallest id, of its rows the smallest key; the rest revisit it
+    first = small.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = small.join(first, "digest").where(F.struct("id", "key") != F.col("first"))
     none = lambda t: F.lit(None).cast(t)
-    verdicts = again.select("key", "id", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), none("string").alias("digest"), "refers_to")
+    verdicts = again.select("key", "id", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "digest", F.col("first.id").alias("refers_to"))
     rows = base.select("key", "id", F.lit(1).alias("kind"), "url", "payload", "digest", none("long").alias("refers_to"))
-    ranged = verdicts.unionByName(rows).repartitionByRange(shuffle_parts(spark), "key", "id").sortWithinPartitions("key", "id", "kind")
+    ranged = verdicts.unionByName(rows).repartitionByRange(shuffle_parts(spark), "key", "id", "digest").sortWithinPartitions("key", "id", "digest", "kind")
     folder = fresh_path(spark, "warc")
     shards = written(map_batches(ranged, _write(folder), SHARDS), "shards")
     return Captures(folder, shards)
@@ -258,18 +265,22 @@ def lookup(captures: Captures, wanted: DataFrame, content: bool = False) -> Data
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = [bisect.bisect_right(firsts, x) - 1 for x in zip(pdf["key"], pdf["id"], strict=True)]
-            pdf["shard"] = np.array(at, "int64")
-            yield pdf[pdf["shard"] >= 0]
+            # captures of one key and id may fill several archives
+            asked = list(zip(pdf["key"], pdf["id"], strict=True))
+            first = np.array([max(0, bisect.bisect_left(firsts, x) - 1) for x in asked], "int64")
+            last = np.array([bisect.bisect_right(firsts, x) for x in asked], "int64")
+            out = pdf.loc[pdf.index.repeat(np.maximum(last - first, 0))]
+            out["shard"] = np.concatenate([np.empty(0, "int64"), *map(np.arange, first, last)])
+            yield out
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, shard, last = -1, None, None
         for pdf in batches:
             out = []
             for s, key, i in zip(pdf["shard"], pdf["key"], pdf["id"], strict=True):
-                if (key, i) == last:
+                if (s, key, i) == last:
                     continue
-                last = (key, i)
+                last = (s, key, i)
                 if s != at:
                     if shard:
                         shard.close()
@@ -299,18 +310,9 @@ def lookup(captures: Captures, wanted: DataFrame, content: bool = False) -> Data
 def capture_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages and read all of them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     captures = write_captures(pages, id_col, url_col, html_col)
-    found = lookup(captures, with_keys(pages, id_col, url_col))
-    # the archive keeps a record for each repeated row; all after the first response revisit it
-    again = F.row_number().over(Window.partitionBy("key", "id", "payload_digest").orderBy("record_type")) > 1
-    turned = again & (F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_FROM)
-    real = lambda c: F.when(c != LAST_ID, c)
-    return found.withColumn("turned", turned).select(
-        real(F.col("id")).alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
-        F.when(F.col("turned"), F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"),
-        F.when(F.col("turned"), real(F.col("id"))).otherwise(real(F.col("refers_to"))).alias("refers_to"),
-    )
+    found = lookup(captures, with_keys(pages, id_col, url_col).distinct())
+    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return found.select(real("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", real("refers_to").alias("refers_to"))
 
 
 SQL = r"""

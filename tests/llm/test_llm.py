@@ -81,6 +81,19 @@ def test_quality(docs, rows, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_suspect_host(spark):
+    # soft failures are forgiven but in a host that fails more often than the corpus
+    rng = random.Random(3)
+    text = lambda soft: words(rng, 60) + (" " + "#*$" * 60 if soft else "")
+    rows = [(i, text(i % 2 == 0 if i < 40 else i % 20 == 0), "worse" if i < 40 else f"ok{i % 5}") for i in range(440)]
+    rows += [(1000, text(True), None), (1001, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {g.doc_id: g.kept for g in quality_rules.quality_rules(docs.unionByName(docs.where("doc_id = 1"))).collect()}
+    assert all(got[i] == (i % 2 == 1) for i in range(40)) and all(got[i] for i in range(40, 440))
+    # null is a host with two failures in two documents
+    assert not got[1000] and not got[1001]
+
+
 def test_bad_host(spark):
     rng = random.Random(1)
     rows = [(i, "short" if i < 60 and i % 30 else words(rng, 60), "bad" if i < 60 else f"ok{i % 4}") for i in range(200)]
@@ -206,11 +219,14 @@ def test_super_min_hash():
 
 
 def test_packing(docs, rows, empty, spark):
+    special = (900, "x <|endoftext|> y", None, None, None, None, None)
+    rows = [*rows, special]
+    docs = docs.unionByName(spark.createDataFrame([special], SCHEMA))
     got = packing.best_fit_packing(docs, registry.vocabulary()).collect()
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(registry.vocabulary())
-    model.encode_special_tokens = True
+    assert model.encode(special[1], add_special_tokens=False).ids == [87, 220, 50256, 331]
     by_doc, by_seq = {}, {}
     for g in got:
         by_doc.setdefault(g.doc_id, []).append(g)
@@ -233,37 +249,63 @@ def test_packing(docs, rows, empty, spark):
     assert packing.best_fit_packing(empty, registry.vocabulary()).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [[5] * 5000, [1025] * 50, [700] * 100 + [600] * 100, list(range(1, 2048)), [2048] * 3 + [1]])
-def test_pack_sizes(spark, sizes):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "uid long, size long")
-    got = packing.pack(df).collect()
+def best_fit_decreasing(sizes, most=2048):
+    free, n = [], 0
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(free, s)
+        gap = free.pop(at) if at < len(free) else most
+        n += gap == most
+        bisect.insort(free, gap - s)
+    return n
+
+
+def check_packed(got, sizes, most=2048):
     fill = {}
     for g in sorted(got, key=lambda g: (g.sequence_id, g.offset)):
         assert fill.get(g.sequence_id, 0) == g.offset
         fill[g.sequence_id] = g.offset + sizes[g.uid]
-    assert sorted(g.uid for g in got) == list(range(len(sizes))) and max(fill.values()) <= 2048
-    least = max(-(-sum(sizes) // 2048), sum(s > 1024 for s in sizes))
-    assert len(fill) <= 1.15 * least + 2
+    assert sorted(g.uid for g in got) == list(range(len(sizes))) and max(fill.values()) <= most
+    assert len(fill) <= 1.005 * best_fit_decreasing(sizes, most) + 1
+
+
+@pytest.mark.parametrize("sizes", [[5] * 5000, [1] * 5000, [1025] * 50, [700] * 100 + [600] * 100, list(range(1, 2048)), [2048] * 3 + [1], [682] * 300 + [683] * 2])
+def test_pack_sizes(spark, sizes):
+    check_packed(packing.pack(spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "uid long, size long")).collect(), sizes)
 
 
-@pytest.mark.parametrize("low, high, long", [(40, 160, 0), (60, 400, 0), (40, 300, 0.01)])
-def test_pack_short_documents(spark, low, high, long):
-    # within a hundredth of sequential best-fit-decreasing, though no gaps are open at first
+@pytest.mark.parametrize("low, high, long", [(40, 160, 0), (60, 400, 0), (40, 300, 0.01), (1, 2048, 0)])
+def test_pack_against_best_fit(spark, low, high, long, monkeypatch):
+    # near sequential best-fit-decreasing, over many ranges, by either way that stretches reach them
     rng = random.Random(high)
     sizes = [rng.randint(1100, 1500) if rng.random() < long else rng.randint(low, high) for _ in range(12_000)]
-    free, best = [], 0
-    for s in sorted(sizes, reverse=True):
-        at = bisect.bisect_left(free, s)
-        gap = free.pop(at) if at < len(free) else 2048
-        best += gap == 2048
-        bisect.insort(free, gap - s)
-    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "uid long, size long")).collect()
-    fill = {}
-    for g in sorted(got, key=lambda g: (g.sequence_id, g.offset)):
-        assert fill.get(g.sequence_id, 0) == g.offset
-        fill[g.sequence_id] = g.offset + sizes[g.uid]
-    assert sorted(g.uid for g in got) == list(range(len(sizes))) and max(fill.values()) <= 2048
-    assert len(fill) <= 1.01 * best + 1
+    monkeypatch.setattr(packing, "RANGE_ROWS", 1500)
+    df = spark.createDataFrame(list(enumerate(sizes)), "uid long, size long")
+    check_packed(packing.pack(df).collect(), sizes)
+    if long:
+        monkeypatch.setattr(packing, "PLAN_ROWS", 0)
+        check_packed(packing.pack(df).collect(), sizes)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_rounds(seed):
+    # any mix of sizes ends, places every piece once and wastes little
+    rng = random.Random(seed)
+    most = rng.choice([7, 64, 2048])
+    sizes = [max(1, min(most, int(rng.lognormvariate(1 + seed / 4, 1.5)))) for _ in range(rng.randrange(1, 3000))]
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    rounds = packing.Rounds(counts, most)
+    rounds.run()
+    fill, ranks = {}, {}
+    for size, rank, n, first, place in rounds.plan:
+        ranks.setdefault(size, []).extend(range(rank, rank + n))
+        for b in range(first, first + n):
+            fill.setdefault(b, []).append((place, size))
+    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
+    for places in fill.values():
+        places.sort()
+        assert all(p + s == (q[0] if q else p + s) for (p, s), q in zip(places, [*places[1:], None]))
+        assert places[0][0] == 0 and sum(s for _, s in places) <= most
+    assert len(fill) <= 1.02 * best_fit_decreasing(sizes, most) + 1
 
 
 def test_mixing(docs, rows, empty):
@@ -291,7 +333,17 @@ def test_mixing(docs, rows, empty):
     again = sorted(map(tuple, mixing.mixed(docs).collect()), key=repr)
     assert again == sorted(map(tuple, mixing.mixed(docs).collect()), key=repr)
     assert mixing.mixed(empty).count() == 0 and mixing.resampled(empty).count() == 0
-    assert mixing.resampled(docs).columns == docs.columns
+    out = mixing.resampled(docs)
+    assert out.columns == docs.columns
+    # the stage emits the very words that the slots take, and whole documents unchanged
+    text, taken, emitted = {r[0]: r[1] for r in rows}, {}, {}
+    for g in got:
+        taken[g.doc_id] = taken.get(g.doc_id, 0) + g.taken
+    for r in out.collect():
+        ws = [w for w in r.text.translate({ord(c): " " for c in WS}).split(" ") if w]
+        emitted[r.doc_id] = emitted.get(r.doc_id, 0) + len(ws)
+        assert r.text in text[r.doc_id] and r.n_chars == len(r.text) and ws
+    assert emitted == {i: n for i, n in taken.items() if n}
 
 
 @pytest.mark.parametrize("seed", [42, 43])
@@ -341,6 +393,22 @@ def test_warc(spark):
     assert sorted(g.record_type for g in warc.capture_round_trip(twin).collect()) == ["response", "revisit"]
 
 
+def test_warc_clashing_ids(spark):
+    # captures that share an id, or id and url, but not a payload; what the archive holds is what is told
+    a, b, c = "a" * 120, "b" * 120, "c" * 120
+    rows = [(1, "http://x/1", a), (5, "http://x/5", a), (5, "http://x/5", b), (5, "http://y/5", b), (7, "http://x/5", c), (7, "http://x/5", c), (None, "http://x/5", c), (None, None, "d" * 200), (None, None, "d" * 200)]
+    pages = spark.createDataFrame([(*r, "k", 0) for r in rows], PAGES).repartition(4)
+    got = sorted(((g.page_id, g.payload_digest, g.record_type, g.refers_to) for g in warc.capture_round_trip(pages).collect()), key=repr)
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, h(a), "response", None), (5, h(a), "revisit", 1), (5, h(b), "response", None), (5, h(b), "revisit", 5), (7, h(c), "response", None), (7, h(c), "revisit", 7), (None, h(c), "revisit", 7)]
+    want += [(None, h("d" * 200), "response", None), (None, h("d" * 200), "revisit", None)]
+    assert got == sorted(want, key=repr)
+    captures = warc.write_captures(pages)
+    found = warc.lookup(captures, warc.with_keys(pages, "page_id", "url").distinct(), content=True).where("record_type = 'response'").collect()
+    assert sorted(bytes(g.content).decode()[0] for g in found) == ["a", "b", "c", "d"]
+    assert all(not bytes(g.content) for g in warc.lookup(captures, warc.with_keys(pages, "page_id", "url").distinct(), content=True).where("record_type = 'revisit'").collect())
+
+
 def test_site_tree(spark):
     page = lambda i, body: (i, f"http://h.example/{i}", body, None, None)
     boiler = "<div class='box'>Same words everywhere</div>"
