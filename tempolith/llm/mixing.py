@@ -44,8 +44,8 @@ from .shared import WORD_RE, shuffle_parts, written
 BLOCK, SHARD = 64, 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-#: Rows of a hash bucket of a source's stream, about.
-BUCKET_ROWS = 50_000
+#: Hash buckets of a source's stream: rows of each, about, and how many there are at least.
+BUCKET_ROWS, BUCKETS = 50_000, 1024
 _M = (1 << 64) - 1
 
 
@@ -202,7 +202,7 @@ def _mix(sized: DataFrame, seed: int, block: int, shard: int) -> Mix:
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sums.drop("n"))
     plan = written(plan.withColumn("number", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1)), "plan")
-    buckets = max(1, -(-sized.count() // BUCKET_ROWS))
+    buckets = max(BUCKETS, -(-sized.count() // BUCKET_ROWS))
     streams = written(_streams(sized, plan, buckets), "streams")
 
     # one row for each source, never one for each document, comes to the driver

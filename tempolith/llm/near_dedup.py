@@ -21,8 +21,10 @@
 
 Defined results: null or blank text has no shingles, is linked with nothing and
 is kept; fewer words than a shingle form one shingle; null ids come last and
-their component id is null; rows repeated outright share everything.  An empty
-table gives an empty result; other columns are ignored.
+their component id is null (the id 2^63 - 1 is reserved for them); ties, as between
+pivots, go to the larger id and never change a component; rows repeated outright
+share everything.  Very long texts are hashed whole, one at a time.  An empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,9 +45,9 @@ from .suffix_dedup import LAST_ID, keyed
 PLACES, ROWS = 96, 4
 BANDS = PLACES // ROWS
 PERCENT = 80
-#: Bytes of text that are hashed together, and members of a tile.
+#: Bytes of text that are hashed together; members of a tile's side, and their shingles on average.
 STRETCH = 4 << 20
-TILE = 2048
+TILE, TILE_SHINGLES = 2048, 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -295,9 +297,9 @@ def groups(texts: DataFrame, shingle: int, percent: int = PERCENT) -> tuple[Data
     id and th of the first document of its component."""
     sketches = written(map_batches(texts, _sketch(shingle), SKETCH), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("id", "th", "bands", "n_shingles")).alias("c"))
-    classes = written(classes.select("print", F.struct("c.id", "c.th").alias("node"), "c.bands"), "classes")
+    classes = written(classes.select("print", F.struct("c.id", "c.th").alias("node"), "c.bands", "c.n_shingles"), "classes")
 
-    member = classes.select("node", F.explode("bands").alias("key"))
+    member = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
     crowd = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = written(member.join(crowd, "key"), "members")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
@@ -313,15 +315,20 @@ def groups(texts: DataFrame, shingle: int, percent: int = PERCENT) -> tuple[Data
     roots = components(star)
 
     # buckets that are not yet one component
-    placed = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n")
+    placed = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "n_shingles")
     placed = placed.join(pivot, "key").where("node <> pivot")
     lead = pivot.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("p_root")), "pivot", "left").select("key", F.coalesce("p_root", "pivot").alias("p_root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = placed.join(open_keys, "key").join(lead, "key").withColumn("seek", F.col("root") != F.col("p_root"))
-    sizes = rest.groupBy("key").agg(F.sum(F.col("seek").cast("long")).alias("seekers"), F.count(F.lit(1)).alias("all"))
+    # tiles are bounded by members and by shingles, so by bytes
+    needed = lambda n, shingles: F.greatest(F.lit(1).cast("long"), F.ceil(n / TILE), F.ceil(shingles / TILE_SHINGLES))
+    seeker = F.col("seek").cast("long")
+    sizes = rest.groupBy("key").agg(
+        needed(F.sum(seeker), F.sum(seeker * F.col("n_shingles"))).alias("seekers"), needed(F.count(F.lit(1)), F.sum("n_shingles")).alias("all")
+    )
     rest = rest.join(sizes, "key")
-    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(n / TILE))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / TILE) - 1))
+    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     one = rest.where("seek").select("key", "node", "root", F.lit(True).alias("seek"), spread(F.col("seekers"), 1).alias("t1"), every(F.col("all")).alias("t2"))
     two = rest.select("key", "node", "root", F.lit(False).alias("seek"), every(F.col("seekers")).alias("t1"), spread(F.col("all"), 2).alias("t2"))
     tiles = one.unionByName(two).select("key", "t1", "t2", "seek", F.col("node.id").alias("a_id"), F.col("node.th").alias("a_th"), F.col("root.id").alias("r_id"), F.col("root.th").alias("r_th"))

@@ -1,59 +1,76 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are laid over one another: elements with the same path of
-tags, classes and ids from the root are one node of the host's tree.  A node
-gathers, over the pages that have it, how varied its *presentation* is (the
-sequence of its child elements) and how varied its *content* (its text): each
-as the entropy of the distribution over pages, to the base of their number, so
-0 for what never changes and 1 for what always does.  A node's importance is
-a blend of both; branches below ``LOW`` are template and are cut from
-every page of the host that has them.
-
-Template that varies from page to page (menus, adverts, comments of readers)
-is known by what it is: elements such as ``nav`` or ``form``, and words in
-class, id and role.  Forms and words do not count on an element that holds the
-page's article or nearly all of its prose; the tree judges those.  Where a page marks its article, only that is read; unless most of the page's prose is outside; prose
-elements inside it (paragraphs, headings, quotations) are never cut for being
-frequent, since pages may share passages.  Nor is a branch cut that holds the
-article, or without which a page has next to no prose left.
+tags, classes and ids from the root are one node of the host's tree (digits in
+names count as one digit).  A node gathers, over the pages that have it, how
+varied its *presentation* is (the sequence of its child elements, with runs in
+powers of two) and how varied its *content* (its text): each as the entropy of
+the distribution over pages, to the base of their number, so 0 for what never
+changes and 1 for what always does.  A node's importance is the mean of both,
+shrunk towards ``PRIOR`` by ``WEIGHT`` pages, so that few pages prove little.
+Importance is composed up the tree: a branch is as important as the most important
+element in it.  Every element that holds text is judged, prose and marked
+articles included: a branch below ``CUT`` is template and goes.
+
+Names are evidence beside the tree, for what only a name can tell.  An
+element that calls itself navigation, footer, advert, form, notice and the like, or
+that lies outside the part which the page marks as its article, must be more
+important by ``NAMED_SHIFT``: its presentation has to vary as well as its content.  What
+readers write varies like an article, so their comments count ``READER_SHIFT`` less, which
+no importance makes up.  Names do not count on an element that holds the page's article
+or nearly all of its prose.  Scripts, styles, controls and hidden elements are no text at all.
+A page is not left without text: while next to no prose is left, the cut branch
+that holds most of it is put back.
 
 The tree is never gathered: its nodes are counted by aggregations that combine
-before the shuffle, over one row for each page and branch; the verdicts are a
-row for each cut branch of a host, broadcast if they are few and otherwise
-joined by host and a salt.
+before the shuffle, over one row for each page and path; the importances are a row
+for each path that two pages have, sent to the tasks if they are few, and otherwise
+joined by path and carried back to their pages.
 
 Defined results: null html gives the empty text; pages without url share one
 host; text without any markup is one block; repeated rows get a row each, but
-copies of a page (by digest) count once in the tree of their host; unclosed
-and stray tags are tolerated; an empty table gives an empty result; other
-columns are ignored.  Pages are read whole.
+copies of a page (by digest) count once in the tree of their host; equal
+importances are no tie to break, as every branch is held against ``CUT`` by itself;
+unclosed and stray tags are tolerated, and a tag with an unclosed quote ends at its
+``>``; an empty table gives an empty result; other columns are ignored, whatever their
+names.  Pages are read whole.  The id 2^63 - 1 is reserved for null and reads as null.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .shared import written
+from .shared import drop_written, written
 from .suffix_dedup import LAST_ID
 
-#: Importance below which a branch is template, the weight of content in it, and the pages a branch needs to be judged.
-LOW, CONTENT_WEIGHT, LEAST_PAGES = 0.2, 0.5, 5
-BROADCAST_BRANCHES, SALTS = 100_000, 64
+#: Importance below which a branch is template; importance without evidence, and the pages that it counts for.
+CUT, PRIOR, WEIGHT = 0.15, 0.4, 2
+#: What names take from the importance of a branch.
+NAMED_SHIFT, READER_SHIFT = 0.6, 1.0
+#: Up to so many paths are sent to every task; a page's digest is salted for the join of more.
+BROADCAST_PATHS, SALTS = 200_000, 64
 #: Under that share of its prose a page has lost its text; text is prose in certain elements, and anywhere from so many characters.
 LOST, LONG = 0.25, 140
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A quoted value may hold anything but the beginning of a tag; an unclosed quote is a character like others.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/<>]*)((?>(?:[^<>"']+|"(?:[^"<]|<(?![A-Za-z/!]))*"|'(?:[^'<]|<(?![A-Za-z/!]))*'|["'])*))(?:>|(?=<)|$)|<[!?][^<>]*>?""",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, up to their own end tag.
@@ -62,20 +79,21 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt li td th article main body html".split())
 PARAGRAPHS = frozenset("p blockquote pre figcaption article main".split())
-NOISE = frozenset("nav footer aside form menu dialog head script style template noscript iframe object svg math canvas audio video select button textarea".split())
+#: No text whatever it holds; and names of template.
+SILENT = frozenset("head title script style template noscript iframe object svg math canvas audio video select button textarea".split())
+NOISE = frozenset("nav footer aside form menu dialog".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert comment comments "
     "disqus reply replies respond sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related recommended "
     "newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar skip".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Of page headers; inside an article they hold its title.
-#: Noise by name or role only; the others are noise whatever they hold.
+#: Template by name only where it does not hold the article.
 NAMED = frozenset(["form"])
 #: What readers write may outweigh the article: it is text only where there is next to nothing else.
 READER_WORDS, NOTHING = frozenset("comment comments disqus reply replies respond".split()), 0.05
+#: Of page headers; inside an article they hold its title.
 HEADER_WORDS = frozenset(["header", "topbar", "hero"])
 #: An opening tag ends an open element of the first set, up to one of the second.
 ENDS = {
@@ -92,9 +110,10 @@ ENDS = {
 class Page:
     """The elements of a page and its blocks of text, in page order."""
 
-    def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.noise, self.inside, self.kids = ["#"], [0], [0], [False], [""], [[]]
-        #: What makes an element noise by itself: 0 nothing, 1 its form or words, 2 words of readers' comments, 3 what it is.
+    def __init__(self, source: str, host: str = ""):
+        root = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
+        self.tag, self.path, self.parent, self.noise, self.inside, self.kids = ["#"], [root], [0], [False], [""], [[]]
+        #: What an element is called: 0 nothing, 1 template by form or words, 2 readers' comments, 3 template by tag, 4 no text.
         self.own = [0]
         self.blocks: list[tuple[int, str]] = []
         self._stack = [0]
@@ -126,17 +145,19 @@ class Page:
 
     def _open(self, name: str, attributes: str) -> int:
         top = self._stack[-1]
-        label, words, own = name, set(), (1 if name in NAMED else 3) if name in NOISE else 0
+        label, words, own = name, set(), 4 if name in SILENT else (1 if name in NAMED else 3) if name in NOISE else 0
         inside = self.inside[top]
         if attributes and not attributes.isspace():
             a = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(attributes)}
             kind = f"{a.get('class', '')} {a.get('id', '')}".strip()
             if kind:
-                label += "." + kind
+                label += "." + _DIGITS.sub("0", kind)
                 words = set(_WORDS.findall(_HUMP.sub(" ", kind).lower()))
             hidden = a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) is not None
-            if hidden or (name == "article" and words & {"comment", "comments", "ad", "ads"}):
-                own = 3
+            if hidden:
+                own = 4
+            elif name == "article" and words & {"comment", "comments", "ad", "ads"}:
+                own = max(own, 2)
             elif words & NOISE_WORDS and name not in ("html", "body", "article", "main"):
                 own = max(own, 2 if words & READER_WORDS else 1)
             if a.get("role", "").lower() in NOISE_ROLES:
@@ -147,7 +168,7 @@ class Page:
             inside = name
         node = len(self.tag)
         self.tag.append(name)
-        self.path.append(xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), self.path[top] & 0x7FFFFFFFFFFFFFFF))
+        self.path.append(xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), self.path[top]))
         self.parent.append(top)
         self.own.append(own)
         self.noise.append(self.noise[top] or own > 0)
@@ -225,30 +246,31 @@ class Page:
                 self.own[node] = 0
                 self.noise = self._spread()
 
-    def branches(self) -> list[tuple[int, int, int]]:
-        """(path, presentation, content) of each element that could be cut: no prose, not known to be noise."""
-        text: dict[int, list[str]] = {}
+    def _style(self, node: int) -> str:
+        """The child elements in order, runs counted in powers of two."""
+        return " ".join(f"{tag}{sum(1 for _ in run).bit_length()}" for tag, run in itertools.groupby(self.kids[node]))
+
+    def nodes(self) -> list[tuple[int, int, int]]:
+        """(path, presentation, content) of each path of block elements that hold text."""
+        silent, text = self._spread(4), {}
         for owner, block in self.blocks:
             node = owner
             while node:
                 text.setdefault(node, []).append(block)
                 node = self.parent[node]
-        out = []
-        for node, blocks in text.items():
-            if not self.noise[node] and self.tag[node] in BLOCK and self.tag[node] not in PROSE:
-                kids = self.kids[node]
-                style = " ".join(k for i, k in enumerate(kids) if not i or kids[i - 1] != k)
-                out.append((self.path[node], xxhash.xxh64_intdigest(style), xxhash.xxh64_intdigest("\n".join(blocks).encode("utf-8", "replace"))))
-        return out
+        found: dict[int, tuple[set, list]] = {}
+        for node in sorted(text):
+            if self.tag[node] in BLOCK and not silent[node]:
+                styles, blocks = found.setdefault(self.path[node], (set(), []))
+                styles.add(self._style(node))
+                blocks += text[node]
+        return [(path, xxhash.xxh64_intdigest("\n".join(sorted(styles))), xxhash.xxh64_intdigest("\n".join(blocks).encode("utf-8", "replace"))) for path, (styles, blocks) in found.items()]
 
     def _prose(self) -> list[tuple[int, int]]:
         """(owner, characters) of the blocks of prose."""
         out = []
         for owner, block in self.blocks:
-            node = owner
-            while node and self.tag[node] not in BLOCK:
-                node = self.parent[node]
-            if self.tag[node] in PARAGRAPHS or len(block) >= LONG:
+            if self.tag[self._block_of(owner)] in PARAGRAPHS or len(block) >= LONG:
                 out.append((owner, len(block)))
         return out
 
@@ -261,38 +283,48 @@ class Page:
             held[self.parent[node]] += held[node]
         return held
 
-    def _cut(self, branches: set[int]) -> list[bool]:
-        cut = list(self.noise)
+    def _composed(self, importance) -> list[float]:
+        """For each element the greatest importance of a block element with text in its branch."""
+        holds = self._held([(owner, 1) for owner, _ in self.blocks])
+        out = [importance(self.path[n]) if holds[n] and self.tag[n] in BLOCK else 0.0 for n in range(len(self.tag))]
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] = max(out[self.parent[node]], out[node])
+        return out
+
+    def _cut(self, gone: set[int]) -> list[bool]:
+        cut = [node in gone for node in range(len(self.tag))]
         for node in range(1, len(cut)):
-            cut[node] = cut[node] or cut[self.parent[node]] or node in branches
+            cut[node] = cut[node] or cut[self.parent[node]]
         return cut
 
-    def _cut_low(self, low: set[int]) -> list[bool]:
-        """What noise and low branches cut, without the branches that hold the article or most of a page's prose."""
-        branches = {node for node in range(1, len(self.tag)) if self.path[node] in low and self.tag[node] not in PROSE and not self.noise[node]}
-        if not branches:
-            return self._cut(branches)
-        marked = self._held([(node, 1) for node in range(len(self.tag)) if self.tag[node] in ("article", "main") and not self.noise[node]])
-        branches = {node for node in branches if not marked[node]}
-        prose = [(owner, n) for owner, n in self._prose() if not self.noise[owner]] or [(owner, len(block)) for owner, block in self.blocks if not self.noise[owner]]
+    def text(self, importance) -> str:
+        """The blocks outside the branches that are cut; ``importance`` of a path."""
+        worth = self._composed(importance)
+        shift = (0.0, NAMED_SHIFT, READER_SHIFT, NAMED_SHIFT, 9.0)
+        judged = [n for n in range(1, len(self.tag)) if self.tag[n] in BLOCK or self.own[n]]
+        named = {n for n in judged if self.own[n] and worth[n] - shift[self.own[n]] < CUT}
+        low = {n for n in judged if not self.own[n] and worth[n] < CUT}
+        cut = self._cut(named)
+        prose = [(owner, n) for owner, n in self._prose() if not cut[owner]] or [(owner, len(block)) for owner, block in self.blocks if not cut[owner]]
         total, held = sum(n for _, n in prose), self._held(prose)
-        # from the root down, largest holding first among siblings
-        for node in sorted(branches, key=lambda node: (-held[node], node)):
-            cut = self._cut(branches)
-            if sum(n for owner, n in prose if not cut[owner]) >= LOST * total or not held[node]:
+        cut = self._cut(named | low)
+        # put back from the largest holding down, from the root down
+        for node in sorted(low, key=lambda node: (-held[node], node)):
+            if not held[node] or sum(n for owner, n in prose if not cut[owner]) >= LOST * total:
                 break
-            branches.discard(node)
-        return self._cut(branches)
-
-    def text(self, low: set[int]) -> str:
-        """The blocks of the article (or main part, or page) outside noise and cut branches."""
-        cut = self._cut_low(low)
+            low.discard(node)
+            cut = self._cut(named | low)
         good = [(owner, block) for owner, block in self.blocks if not cut[owner]]
         scope = self._scope(good)
         if scope:
-            good = [(owner, block) for owner, block in good if self.inside[owner] in ("article", scope)]
+            good = [(owner, block) for owner, block in good if self.inside[owner] in ("article", scope) or worth[self._block_of(owner)] - NAMED_SHIFT >= CUT]
         return "\n\n".join(block for _, block in good)
 
+    def _block_of(self, node: int) -> int:
+        while node and self.tag[node] not in BLOCK:
+            node = self.parent[node]
+        return node
+
     def _scope(self, good: list[tuple[int, str]]) -> str:
         """The innermost of article, main part and page ('') that holds the prose: articles may be
         cards beside it, so the longest one is compared with the prose that is outside them."""
@@ -327,58 +359,79 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for host, source in zip(pdf["host"], pdf["html"], strict=True):
             if source:
                 page = _signed(xxhash.xxh64_intdigest(source.encode("utf-8", "replace")))
-                rows += {(host, page, *map(_signed, b)) for b in Page(source).branches()}
-        yield pd.DataFrame(rows, columns=["host", "page", "path", "style", "content"])
+                rows += [(page, *map(_signed, x)) for x in Page(source, host).nodes()]
+        yield pd.DataFrame(rows, columns=["page", "path", "style", "content"])
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
-    """From rows (host, html): host and path of each branch that is template."""
-    rows = map_batches(pages, _branches, "host string, page long, path long, style long, content long")
+def importances(pages: DataFrame) -> DataFrame:
+    """From rows (host, html): path, pages, importance of each path that at least two pages have."""
+    rows = map_batches(pages, _nodes, "page long, path long, style long, content long")
     # copies of a page give the same rows
-    nodes = written(rows.distinct(), "branches")
+    nodes = written(rows.distinct(), "nodes")
 
     def entropy(kind: str) -> DataFrame:
-        counts = nodes.groupBy("host", "path", kind).agg(F.count(F.lit(1)).alias("c"))
-        sums = counts.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-        # entropy to the base m: (log m - sum(c log c) / m) / log m
-        return sums.where(F.col("m") >= LEAST_PAGES).select("host", "path", (1 - F.col("s") / F.col("m") / F.log("m")).alias(f"{kind}_entropy"))
+        counts = nodes.groupBy("path", kind).agg(F.count(F.lit(1)).alias("c"))
+        sums = counts.groupBy("path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+        # to the base m: (log m - sum(c log c) / m) / log m
+        return sums.where("m > 1").select("path", F.col("m").alias(f"{kind}_pages"), (1 - F.col("s") / F.col("m") / F.log("m")).alias(kind))
+
+    both = entropy("style").join(entropy("content"), "path")
+    proof, mean = F.col("style_pages") - 1, (F.col("style") + F.col("content")) / 2
+    out = both.select("path", F.col("style_pages").alias("pages"), ((proof * mean + WEIGHT * PRIOR) / (proof + WEIGHT)).alias("importance"))
+    out = written(out, "importances")
+    drop_written(nodes)
+    return out
+
 
-    blend = (1 - CONTENT_WEIGHT) * F.col("style_entropy") + CONTENT_WEIGHT * F.col("content_entropy")
-    return entropy("style").join(entropy("content"), ["host", "path"]).where(blend < LOW).select("host", "path")
+TEXTS = "page_id long, url string, text string, n_chars long"
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of ``pages``."""
     base = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    low = written(low_branches(base.select("host", "html")), "low")
-    if low.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES:
-        sets = low.groupBy(F.col("host").alias("l_host")).agg(F.collect_list("path").alias("low"))
-        marked = base.join(F.broadcast(sets), base["host"] == sets["l_host"], "left")
+    known = importances(base.select("host", "html"))
+
+    def rows(pdf: pd.DataFrame, tables) -> pd.DataFrame:
+        out = pdf[["page_id", "url"]].copy()
+        out["text"] = [Page(source, host).text(table) for host, source, table in zip(pdf["host"], pdf["html"], tables, strict=True)]
+        out["n_chars"] = [len(t) for t in out["text"]]
+        return out
+
+    few = known.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+    if few:
+        table = sorted((r["path"], r["importance"]) for r in known.select("path", "importance").collect())  # at most BROADCAST_PATHS rows
+        path, worth = np.array([p for p, _ in table], np.int64), np.array([w for _, w in table], np.float32)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = dict(zip(path.tolist(), worth.tolist(), strict=True))
+            for pdf in batches:
+                yield rows(pdf, itertools.repeat(lambda p: of.get(_signed(p), PRIOR), len(pdf)))
+
+        out = map_batches(base, run, TEXTS)
     else:
-        sets = low.groupBy(F.col("host").alias("l_host")).agg(F.collect_list("path").alias("low")).withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        marked = salted.join(sets, (salted["host"] == sets["l_host"]) & (salted["salt"] == sets["l_salt"]), "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, set[int]] = {}
-        for pdf in batches:
-            texts = []
-            for host, source, low in zip(pdf["host"], pdf["html"], pdf["low"], strict=True):
-                if host not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[host] = {int(p) & (1 << 64) - 1 for p in low} if low is not None else set()
-                texts.append(Page(source).text(known[host]))
-            out = pdf[["page_id", "url"]].copy()
-            out["text"] = texts
-            out["n_chars"] = [len(t) for t in texts]
-            yield out
-
-    out = map_batches(marked.select("page_id", "url", "host", "html", "low"), run, "page_id long, url string, text string, n_chars long")
+        # copies have the same paths, so the paths of each digest are looked up once
+        keyed = base.withColumn("th", F.xxhash64("host", "html"))
+
+        def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = [(th, _signed(p)) for th, host, source in zip(pdf["th"], pdf["host"], pdf["html"], strict=True) for p, _, _ in Page(source, host).nodes()]
+                yield pd.DataFrame(found, columns=["th", "path"])
+
+        of_page = map_batches(keyed.select("th", "host", "html"), paths, "th long, path long").distinct().join(known, "path")
+        of_page = of_page.groupBy("th").agg(F.collect_list("path").alias("path"), F.collect_list("importance").alias("worth"))
+        of_page = of_page.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(of_page, ["th", "salt"], "left")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                tables = [dict(zip(map(int, p), w, strict=True)) if p is not None else {} for p, w in zip(pdf["path"], pdf["worth"], strict=True)]
+                yield rows(pdf, [(lambda p, of=of: of.get(_signed(p), PRIOR)) for of in tables])
+
+        out = map_batches(joined.select("page_id", "url", "host", "html", "path", "worth"), run, TEXTS)
     return out.withColumn("page_id", F.when(F.col("page_id") != LAST_ID, F.col("page_id")))

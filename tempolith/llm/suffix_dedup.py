@@ -19,15 +19,22 @@ A byte goes if a string of ``width`` bytes that covers it also starts earlier
    winner merges the runs; it compares characters only beyond prefixes it
    knows.  Entries that share their whole length are one string: all but the
    earliest are removed.  Entries that share only the anchor's run overlap in
-   part; their windows are compared one by one, by 64-bit hashes of all
-   ``width`` bytes, inside the merged interval.
-5. Anchors that occur more than ``HOT`` times are dealt by the whole suffix, and
-   their windows by the window's hash in one more exchange.
+   part; their windows meet by a hash of all ``width`` bytes inside the merged
+   interval, and those that meet are compared byte by byte.
+5. Anchors that occur more than ``HOT`` times (a skewed key) are spread: dealt by
+   the whole suffix, merged likewise, and their windows, bytes and all, dealt by the
+   window's hash in one more exchange.
+
+No byte is removed on the word of a hash.  The number of groups follows the bytes
+of the input (``PART`` bytes of text each), so no group grows with it.  Widths
+from ``GRAM`` to ``GRAM + 254`` are supported, others are a ValueError.
 
 Defined results: null text is empty; texts shorter than ``width`` lose nothing;
-null ids come last in the order; of rows repeated outright the first keeps what
-the others lose.  An empty table gives an empty result.  Other columns are
-ignored.  Long texts are cut into overlapping stretches and lose nothing by it.
+null ids come last in the order (the id 2^63 - 1 is reserved for them and reads as
+null); texts that share an id are in the order of their hash; of rows repeated
+outright the first keeps what the others lose.  An empty table gives an empty
+result.  Other columns are ignored, whatever their names.  Long texts are cut into
+overlapping stretches and lose nothing by it.
 """
 
 from __future__ import annotations
@@ -48,7 +55,8 @@ from .shared import drop_written, shuffle_parts, written
 WIDTH, GRAM = 100, 24
 #: Bytes of text that are hashed at a time, and that make a run.
 STRETCH, RUN = 1 << 21, 16 << 20
-HOT = 100_000
+#: Bytes of text for each group of an exchange, and the occurrences from which an anchor is spread.
+PART, HOT = 12 << 20, 20_000
 #: Windows that are compared at a time, beyond those of one anchor.
 SLICE = 200_000
 LAST_ID = (1 << 63) - 1
@@ -346,8 +354,9 @@ def _runs(parts: int, width: int):
 WINDOWS = np.dtype([("h", "<u8"), ("id", "<i8"), ("th", "<i8"), ("start", "<i4")])
 
 
-def _window_rows(texts: list[bytes], meta: np.ndarray, width: int) -> np.ndarray:
-    """A row for each window of entries, texts being their strings in order."""
+def _window_rows(texts: list[bytes], meta: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row for each window of entries, texts being their strings in order; all windows of the
+    strings' bytes, and the place of each row's window among them."""
     out = np.zeros(int(meta["count"].astype(np.int64).sum()), WINDOWS)
     data = np.frombuffer(b"".join(texts), np.uint8)
     h = gram_hashes(data, width)
@@ -356,16 +365,27 @@ def _window_rows(texts: list[bytes], meta: np.ndarray, width: int) -> np.ndarray
     count = meta["count"].astype(np.int64)
     which = np.repeat(np.arange(len(texts)), count)
     k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    out["h"], out["id"], out["th"], out["start"] = h[base[which] + k], meta["id"][which], meta["th"][which], meta["first"][which] + k
-    return out
+    at = base[which] + k
+    out["h"], out["id"], out["th"], out["start"] = h[at], meta["id"][which], meta["th"][which], meta["first"][which] + k
+    return out, np.lib.stride_tricks.sliding_window_view(data, width), at
 
 
-def _late_windows(w: np.ndarray) -> np.ndarray:
-    """The windows whose string also starts earlier."""
-    w = w[np.lexsort((w["start"], w["th"], w["id"], w["h"]))]
+def _late_windows(w: np.ndarray, view: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The windows whose string (row ``at`` of ``view``) also starts earlier."""
+    order = np.lexsort((w["start"], w["th"], w["id"], w["h"]))
+    w, at = w[order], at[order]
     first = np.flatnonzero(np.concatenate([[True], w["h"][1:] != w["h"][:-1]]))
-    lead = w[np.repeat(first, np.diff(np.append(first, len(w))))]
-    return w[(w["id"] != lead["id"]) | (w["th"] != lead["th"]) | (w["start"] != lead["start"])]
+    lead = np.repeat(first, np.diff(np.append(first, len(w))))
+    apart = lambda i, j: (w["id"][i] != w["id"][j]) | (w["th"][i] != w["th"][j]) | (w["start"][i] != w["start"][j])
+    late = apart(np.arange(len(w)), lead)
+    clash: set[int] = set()
+    for rows in np.array_split(np.flatnonzero(late), max(1, late.sum() // 20_000)):
+        clash.update(lead[rows[(view[at[rows]] != view[at[lead[rows]]]).any(axis=1)]].tolist())
+    for g in clash:  # strings with one hash that are not equal
+        leads: dict[bytes, int] = {}
+        for i in np.flatnonzero(lead == g).tolist():
+            late[i] = bool(apart(i, leads.setdefault(view[at[i]].tobytes(), i)))
+    return w[late]
 
 
 def _window_spans(w: np.ndarray, width: int, parts: int) -> list[tuple]:
@@ -423,15 +443,16 @@ def _merge(parts: int, width: int):
             done = windows[cuts[k] - 1] if cuts[k] else 0
             end = max(k + 1, int(np.searchsorted(windows[ends - 1], done + SLICE, side="right")))
             rows = pick[cuts[k] : cuts[end] if end < len(cuts) else len(pick)]
-            w = _window_rows([_text_of(texts[x], int(reps["back"][x])) for x in rows], reps[rows], width)
-            out += _window_spans(_late_windows(w), width, parts)
+            windows_of = _window_rows([_text_of(texts[x], int(reps["back"][x])) for x in rows], reps[rows], width)
+            out += _window_spans(_late_windows(*windows_of), width, parts)
             k = end
-        for s in range(0, len(hot := np.flatnonzero(reps["hot"])), 20_000):
-            rows = hot[s : s + 20_000]
-            w = _window_rows([_text_of(texts[x], int(reps["back"][x])) for x in rows], reps[rows], width)
-            w = w[np.lexsort((w["start"], w["th"], w["id"], w["h"]))]
+        for s in range(0, len(hot := np.flatnonzero(reps["hot"])), 2_000):
+            rows = hot[s : s + 2_000]
+            w, view, at = _window_rows([_text_of(texts[x], int(reps["back"][x])) for x in rows], reps[rows], width)
             dest = _dest(w["h"], parts)
-            out += [(3, d, pack_arrays(w[sl])) for d, sl in _slices(dest, parts)]
+            # windows that follow each other stay together: their bytes compress to little more than one each
+            order = np.argsort(dest, kind="stable")
+            out += [(3, d, pack_arrays(w[order[sl]], view[at[order[sl]]])) for d, sl in _slices(dest[order], parts)]
         return pd.DataFrame(out, columns=["kind", "dest", "blob"])
 
     return run
@@ -439,8 +460,8 @@ def _merge(parts: int, width: int):
 
 def _hot_windows(parts: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = np.concatenate([unpack_arrays(b)[0] for b in pdf["blob"]])
-        return pd.DataFrame(_window_spans(_late_windows(w), width, parts), columns=["kind", "dest", "blob"])
+        w, view = (np.concatenate(x) for x in zip(*map(unpack_arrays, pdf["blob"]), strict=True))
+        return pd.DataFrame(_window_spans(_late_windows(w, view, np.arange(len(w))), width, parts), columns=["kind", "dest", "blob"])
 
     return run
 
@@ -483,9 +504,17 @@ def grouped(df: DataFrame, key: str, f, schema: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(f, schema)
 
 
+def groups_for(texts: DataFrame) -> int:
+    """Groups of an exchange: as many as the session's shuffles have, more if the texts are long."""
+    size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    return max(shuffle_parts(texts.sparkSession), -(-size // PART))
+
+
 def repeated_spans(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """From rows (id, th, data): id, th, spans (two rows of little-endian ints) of documents that lose bytes."""
-    parts = shuffle_parts(texts.sparkSession)
+    if not GRAM <= width <= GRAM + 254:
+        raise ValueError(f"width must be from {GRAM} to {GRAM + 254}")
+    parts = groups_for(texts)
     anchors = map_batches(texts, _anchor_blobs(parts, width), "dest long, run long, kind int, blob binary")
     found = grouped(anchors, "dest", _candidates, "run long, kind int, blob binary")
     cands = written(grouped(found, "run", _by_document, "id long, th long, found binary"), "candidates")

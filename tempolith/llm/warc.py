@@ -204,7 +204,7 @@ def write_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     again = small.join(first, "digest").where(F.struct("id", "key") != F.col("first"))
     none = lambda t: F.lit(None).cast(t)
     verdicts = again.select("key", "id", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "digest", F.col("first.id").alias("refers_to"))
-    rows = base.select("key", "id", F.lit(1).alias("kind"), "url", "payload", "digest", none("long").alias("refers_to"))
+    rows = base.select("key", "id", F.lit(1).alias("kind"), "url", "payload", "digest", F.lit(0).cast("long").alias("refers_to"))
     ranged = verdicts.unionByName(rows).repartitionByRange(shuffle_parts(spark), "key", "id", "digest").sortWithinPartitions("key", "id", "digest", "kind")
     folder = fresh_path(spark, "warc")
     shards = written(map_batches(ranged, _write(folder), SHARDS), "shards")
@@ -297,7 +297,8 @@ def lookup(captures: Captures, wanted: DataFrame, content: bool = False) -> Data
                     out.append((key, i, size, digest, kind, int(refers) if refers else None, body if content else None))
             cols = ["key", "id", "payload_bytes", "payload_digest", "record_type", "refers_to", "content"]
             done = pd.DataFrame(out, columns=cols)
-            done["refers_to"] = done["refers_to"].astype("Int64")
+            # straight from the numbers: by way of floats long ids would change
+            done["refers_to"] = pd.array([r[5] for r in out], dtype="Int64")
             yield done
         if shard:
             shard.close()

@@ -3,7 +3,9 @@
 import bisect
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -126,6 +128,42 @@ def test_suffix(docs, rows, empty, hot, monkeypatch):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [24, 40, 278])
+def test_suffix_widths(spark, width):
+    rng = random.Random(width)
+    base = words(rng, 120)
+    rows = [(i, words(rng, 30) + base[i * 7 : i * 7 + 400] + words(rng, 30)) for i in range(12)] + [(50, "ab" * 400), (51, base), (51, words(rng, 50)), (52, base[:width])]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width)
+    same = lambda out: sorted((g[0], *g[1:]) for g in out if g[0] != 51)  # noqa: E731  (the two texts of id 51 have no order of their own)
+    assert same(map(tuple, got.collect())) == same(suffix_brute(rows, width))
+
+
+def test_suffix_equal_hashes(docs, rows, monkeypatch):
+    # windows meet by hash, but only equal bytes are removed: a poor hash changes nothing
+    ship = monkeypatch.setattr
+    real = suffix_dedup._window_rows
+    ship(suffix_dedup, "_window_rows", lambda *a: (lambda w, v, at: (w["h"].__iand__(np.uint64(3)), (w, v, at))[1])(*real(*a)))
+    texts = [(r[0], (r[1] or "").encode()) for r in rows if r[0] is not None and r[1]][:30]
+    base = texts[3][1] * 3
+    view_of = [b"x" * 10 + base[:300], b"y" * 7 + base[20:310], base[5:290]]
+    meta = np.zeros(3, suffix_dedup.META)
+    meta["id"], meta["count"] = [1, 2, 3], [len(t) - 99 if len(t) - 99 < 256 else 255 for t in view_of]
+    late = suffix_dedup._late_windows(*suffix_dedup._window_rows(view_of, meta, 100))
+    seen, want = set(), set()
+    for i, (t, m) in enumerate(zip(view_of, meta)):
+        for p in range(int(m["count"])):
+            if t[p : p + 100] in seen:
+                want.add((i + 1, p))
+            seen.add(t[p : p + 100])
+    assert {(int(w["id"]), int(w["start"])) for w in late} == want and want
+
+
+def test_suffix_bad_width(docs):
+    for width in (23, 279):
+        with pytest.raises(ValueError):
+            suffix_dedup.suffix_dedup(docs, width)
+
+
 def test_loser_tree():
     rng = random.Random(3)
     runs = [sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(0, 30))}) for _ in range(7)]
@@ -138,17 +176,52 @@ def test_loser_tree():
         assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
 
 
-def test_chunks(docs, rows, empty):
-    got = {g.doc_id: g for g in chunk_dedup.chunk_dedup(docs).collect() if g.doc_id is not None}
+def chunks_brute(rows, how):
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (r[1] or "").encode()
+        mark, last = bytearray(len(b)), 0
+        for end in chunk_dedup.chunk_ends(np.frombuffer(b, np.uint8), how):
+            if b[last:end] in seen:
+                mark[last:end] = b"\1" * (end - last)
+            seen.add(b[last:end])
+            last = end
+        spans, kept, at = [m.span() for m in re.finditer(b"\1+", bytes(mark))], b"", 0
+        spans = [(s, e) for s, e in spans if e - s >= how.span]
+        for s, e in spans:
+            kept, at = kept + b[at:s], e
+        out.append((r[0], len(b), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept + b[at:]).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def gear_brute(data, bits):
+    # the hash byte by byte: shift, add the byte's word
+    h, out = 0, []
+    for i, b in enumerate(data.tolist()):
+        h = ((h << 1) + int(chunk_dedup.GEAR[b])) & 0xFFFF
+        if h >> (16 - bits) == 0:
+            out.append(i + 1)
+    return out
+
+
+@pytest.mark.parametrize("how", [chunk_dedup.Chunking(), chunk_dedup.Chunking(span=0), chunk_dedup.Chunking(4, 16, 256, 50)])
+def test_chunks(docs, rows, empty, how):
+    got = chunk_dedup.chunk_dedup(docs, how)
+    # rows that are repeated outright lose everything only if that is long enough to be removed
+    assert sorted(map(tuple, got.collect()), key=repr) == chunks_brute(rows, how)
+    assert chunk_dedup.chunk_dedup(empty, how).count() == 0
+
+
+def test_chunk_cuts():
     rng = np.random.default_rng(1)
+    how = chunk_dedup.Chunking()
     data = rng.integers(97, 123, 20_000, dtype=np.uint8)
+    assert [c for c in chunk_dedup.gear_cuts(data, 5).tolist() if c > 16] == [c for c in gear_brute(data, 5) if c > 16]
     shifted = np.concatenate([data[:5000], np.frombuffer(b"inserted", np.uint8), data[5000:]])
-    cut = lambda d: {bytes(d[a:b]) for a, b in zip([0, *chunk_dedup.chunk_ends(d)], chunk_dedup.chunk_ends(d))}
+    cut = lambda d: {bytes(d[a:b]) for a, b in zip([0, *chunk_dedup.chunk_ends(d, how)], chunk_dedup.chunk_ends(d, how))}
     assert len(cut(data) - cut(shifted)) <= 4
-    ids = [r[0] for r in rows if r[1] and rows[-3][1] and rows[-3][1] in r[1] and r[0] is not None]
-    later = [i for i in ids if i != min(ids)]
-    assert later and all(got[i].n_removed >= 100 for i in later)
-    assert chunk_dedup.chunk_dedup(empty).count() == 0
+    with pytest.raises(ValueError):
+        chunk_dedup.Chunking(least=0)
 
 
 def near_brute(rows, k):
@@ -446,6 +519,56 @@ def test_site_tree_copies(spark):
         assert got[2000 + i] == f"Read {i % 2}"
 
 
+def test_site_tree_importance(spark):
+    # entropies of each path, by counting pages
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}.example"
+        items = "".join(f"<li><a>{words(rng, 2)}</a></li>" for _ in range(rng.randrange(1, 9)))
+        body = f"<div class=box>Same words</div><ul id=m{i % 10}>{items}</ul><article><h1>{words(rng, 3)}</h1>" + "".join(f"<p>{words(rng, 9)}</p>" for _ in range(rng.randrange(1, 20))) + f"</article><footer>{host} {i % 4}</footer>"
+        rows.append((i, f"http://{host}/{i}", body))
+    rows += [(900 + i, *rows[i][1:]) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {g.path: (g.pages, g.importance) for g in site_tree.importances(pages.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), "html")).collect()}
+    seen = {}
+    for host, html in {(u.split("/")[2], h) for _, u, h in rows}:
+        for path, style, content in site_tree.Page(html, host).nodes():
+            styles, contents = seen.setdefault(site_tree._signed(path), (Counter(), Counter()))
+            styles[style] += 1
+            contents[content] += 1
+    want = {}
+    for path, counts in seen.items():
+        m = sum(counts[0].values())
+        if m > 1:
+            spread = [-sum(c / m * np.log(c / m) for c in x.values()) / np.log(m) for x in counts]
+            want[path] = (m, ((m - 1) * sum(spread) / 2 + 2 * 0.4) / (m + 1))
+    assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in got)
+    assert len(want) > 9
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_site_tree_decides(spark, few, monkeypatch):
+    # no name says what is template here, and one name is wrong: the tree tells
+    if not few:
+        monkeypatch.setattr(site_tree, "BROADCAST_PATHS", 0)
+    rng = random.Random(4)
+    kinds = ["p", "ul", "h2", "pre", "blockquote", "table"]
+    rows, want = [], {}
+    for i in range(24):
+        parts = [("p" if k < 2 else rng.choice(kinds), f"part {i} {k} " + words(rng, 12)) for k in range(rng.randrange(4, 10))]
+        rng.shuffle(parts)
+        told = "".join(f"<{t}><li>{x}</li></{t}>" if t == "ul" else f"<{t}>{x}</{t}>" for t, x in parts)
+        html = f"<body><section class=top>Our site</section><article><h1>Title {i}</h1><div class=social-share-story>{told}</div><p class=legal>The same small print on every page of this site, which nobody reads.</p></article><div class=x9>We use the same words</div></body>"
+        rows.append((i, f"http://tree.example/{i}", html, None, None))
+        want[i] = "\n\n".join([f"Title {i}", *(x for _, x in parts)])
+    rows.append((99, "http://other.example/1", rows[0][2], None, None))
+    got = {g.page_id: g.text for g in site_tree.extract_text(spark.createDataFrame(rows, PAGES).repartition(2)).collect()}
+    assert {i: got[i] for i in want} == want
+    # one page of a host proves nothing: only names speak
+    assert "small print" in got[99]
+
+
 LONG = "A long story is told in this paragraph, and it goes on for quite a while. "
 
 
@@ -463,10 +586,16 @@ LONG = "A long story is told in this paragraph, and it goes on for quite a while
         ("<div class=post><p>Story</p></div><div class=related><article>card</article></div>", "Story"),
         (f"<article><p>Story</p></article><div class=related><article><p>{LONG}</p></article></div>", "Story"),
         ("<nav><p>menu</p></nav><div class=menu><a>one</a></div>", ""),
+        # unclosed quotes and brackets end with their tag, and no markup becomes text
+        ('<p title="x>Hello</p><p>World</p>', "Hello\n\nWorld"),
+        ("<p title='a > b'>Hello</p>", "Hello"),
+        ('<p title="a < b">Hello</p>', "Hello"),
+        ("<div class='x <p>Hello</p>", "Hello"),
+        ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
     ],
 )
 def test_site_tree_wrappers(html, text):
-    assert site_tree.Page(f"<html><body>{html}</body></html>").text(set()) == text
+    assert site_tree.Page(f"<html><body>{html}</body></html>").text(lambda path: site_tree.PRIOR) == text
 
 
 def test_licenses(spark, docs, empty):
@@ -490,6 +619,44 @@ def test_licenses_without_seeds(spark):
     assert got == [(0, "mit", True), (1, "mit-text", True), (2, "mit-text", True), (3, "mit", True), (4, "mit-text", True)]
 
 
+def test_license_library(spark):
+    # every text of the library is found under its own name, and again with a tenth of its words gone
+    rng = random.Random(12)
+    names = sorted(license_scan.TEMPLATES)
+    rows = [(i, f"{words(rng, 30)} {license_scan.TEMPLATES[n]} {words(rng, 30)}") for i, n in enumerate(names)]
+    long_ones = [n for n in names if len(license_scan.TEMPLATES[n].split()) > 60]
+    torn = lambda n: " ".join(w for w in license_scan.TEMPLATES[n].split() if rng.random() > 0.1)
+    rows += [(1000 + i, f"{words(rng, 30)}\n{torn(n)}\n{words(rng, 30)}") for i, n in enumerate(long_ones)]
+    rows += [rows[0]]
+    got = {}
+    for g in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(g.doc_id, []).append(g.license)
+    assert got[0] == [names[0]] * 2 and all(got[i] == [n] for i, n in enumerate(names) if i)
+    assert all(got[1000 + i] for i in range(len(long_ones)))
+
+
+def test_license_recall(spark):
+    # against patience over every region, on notices with words replaced, dropped and put in between
+    rng = random.Random(21)
+    names = [n for n in sorted(license_scan.TEMPLATES) if len(license_scan.words_of(license_scan.TEMPLATES[n].encode())) >= 5]
+    rows, want = [], {}
+    for i in range(150):
+        name = rng.choice(names)
+        ws = license_scan.words_of(license_scan.TEMPLATES[name].encode())
+        out = []
+        for w in ws:
+            x = rng.random()
+            out += [] if x < 0.05 else [b"zz"] if x < 0.12 else [w, b"yy"] if x < 0.3 else [w]
+        pairs = license_scan.patience(out, ws)
+        rows.append((i, (words(rng, 80) + " " + b" ".join(out).decode() + " " + words(rng, 80))))
+        if len(pairs) >= 0.8 * len(ws) and pairs[-1][0] - pairs[0][0] < license_scan.WIDE * len(ws):
+            want[i] = len(pairs) / len(ws)
+    got = {}
+    for g in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[g.doc_id] = max(got.get(g.doc_id, 0), g.coverage)
+    assert len(want) > 60 and sum(i in got for i in want) == len(want)
+
+
 def test_patience():
     a, b = "a b c x d e f".split(), "b c d y e f a".split()
     pairs = license_scan.patience(a, b)
