@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .functions.text import density, flesch
 from .operators import graph, qa, tms
 from .plans import nlg, planner
-from .session import written
+from .session import fresh_path, written
 
 TRACE = "query_id string, rule_id string, input_fact string, fact_id string, value string, fired_us long, event_id long"
 BELIEF = "belief_id string, support_id string, status string"
+STORES = {"firings": TRACE, "beliefs": BELIEF}
 EDGE_JSON = "array<struct<source:string,relation:string,target:string,time:string>>"
 
 
@@ -28,17 +29,24 @@ class Engine:
         self.reset()
 
     def reset(self) -> None:
-        self.firings = self.spark.createDataFrame([], TRACE)
-        self.beliefs = self.spark.createDataFrame([], BELIEF)
+        self.stores = {name: fresh_path(self.spark, name) for name in STORES}
+        self.firings, self.beliefs = (self.spark.createDataFrame([], schema) for schema in STORES.values())
+
+    def _append(self, name: str, rows: DataFrame) -> DataFrame:
+        """Add files to a store; what it holds already is neither read nor written again."""
+        schema = STORES[name]
+        whole = self.spark.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
+        whole.write.mode("append").parquet(self.stores[name])
+        return self.spark.read.schema(schema).parquet(self.stores[name])
 
     # --- truth maintenance ---
 
     def record_rules(self, firings: DataFrame) -> None:
-        """Append firings; the store is written so that its lineage stays flat."""
-        self.firings = written(self.firings.unionByName(firings, allowMissingColumns=True), "firings")
+        """Append firings."""
+        self.firings = self._append("firings", firings)
 
     def add_beliefs(self, beliefs: DataFrame) -> None:
-        self.beliefs = written(self.beliefs.unionByName(beliefs.withColumn("status", F.coalesce("status", F.lit("active")))), "beliefs")
+        self.beliefs = self._append("beliefs", beliefs.withColumn("status", F.coalesce("status", F.lit("active"))))
 
     def rules_fired(self) -> DataFrame:
         return tms.rules_fired(self.firings)
@@ -63,7 +71,9 @@ class Engine:
 
     def retract(self, retracted: DataFrame) -> DataFrame:
         state = tms.retract(self.beliefs, retracted)
-        self.beliefs = written(self.beliefs.drop("status").join(state, "belief_id"), "beliefs")
+        new = written(self.beliefs.drop("status").join(state, "belief_id"), "beliefs")
+        # a change of status rewrites the store; later beliefs are appended to the new one
+        self.stores["beliefs"], self.beliefs = new._tempolith_path, new
         return state
 
     def with_status(self, status: str) -> DataFrame:

@@ -21,15 +21,15 @@ def tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"\b\w\w+\b"), F.lit(0))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def syllables(text: Column) -> Column:
     """Groups of vowels in the letters of all words.  The total is raised to one as soon as a word has passed
-    without any vowel group so far."""
-    bare = F.filter(F.transform(_words(F.lower(text)), lambda w: F.regexp_replace(w, "[^a-z]", "")), lambda w: w != "")
-    return F.aggregate(bare, F.lit(0), lambda a, w: F.greatest(a + F.regexp_count(w, F.lit("[aeiou]+")), F.lit(1)))
+    without any vowel group so far, which only the first word that has letters can do."""
+    bare = F.regexp_replace(F.lower(text), r"[^a-z\s]+", "")
+    return F.regexp_count(bare, F.lit("[aeiou]+")) + bare.rlike(r"\A\s*[b-df-hj-np-tv-z]+(?:\s|\z)").cast("int")
 
 
 def sentences(text: Column) -> Column:
@@ -38,13 +38,13 @@ def sentences(text: Column) -> Column:
 
 def flesch(text: Column) -> Column:
     """Flesch reading ease, held to 0..100; 50 for a text without words."""
-    n = F.size(_words(text))
+    n = word_count(text)
     score = F.lit(206.835) - 1.015 * (n / sentences(text)) - 84.6 * F.try_divide(syllables(text), n)
     return F.when(n == 0, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
 def density(text: Column) -> Column:
-    n = F.size(_words(text))
+    n = word_count(text)
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(syllables(text), n * 1.5)))
 
 

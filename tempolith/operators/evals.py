@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import floor_rank, nearest_rank
+
+
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, and for each name the value at a rank (from 0) that a function of the group's size gives.
+
+    Equal values are counted first, so a group is ordered by its distinct values
+    with their counts; no group's rows are gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    placed = counts.withColumn("_upto", F.sum("_c").over(upto)).join(size, keys)
+    at = lambda f: F.greatest(F.lit(0), F.least(f(F.col("_n")), F.col("_n") - 1))
+    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > at(f), F.col(value))).alias(name) for name, f in ranks.items()])
+
+
+def nearest_rank(share: float) -> Callable[[Column], Column]:
+    """The rounded (half to even) place."""
+    return lambda n: F.bround((n - 1) * share).cast("bigint")
+
+
+def floor_rank(share: float) -> Callable[[Column], Column]:
+    return lambda n: F.floor(n * share).cast("bigint")
 
 
 def efficiency(runs: DataFrame) -> DataFrame:
     """By method, and by method and level: latency figures and throughput."""
-    g = runs.groupingSets([["method"], ["method", "level"]], "method", "level")
-    values = F.sort_array(F.collect_list("latency_ms"))
-    return g.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
-        nearest_rank(values, 0.50).alias("p50_ms"),
-        nearest_rank(values, 0.95).alias("p95_ms"),
-        F.round(1000.0 / F.avg("latency_ms"), 4).alias("throughput"),
-    )
+    figures = [F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"), F.round(1000.0 / F.avg("latency_ms"), 4).alias("throughput")]
+    ranks = {"p50_ms": nearest_rank(0.50), "p95_ms": nearest_rank(0.95)}
+    none = F.lit(None).cast(dict(runs.dtypes)["level"])
+    by_method = runs.groupBy("method").agg(*figures).join(at_ranks(runs, ["method"], "latency_ms", ranks), "method").withColumn("level", none)
+    by_both = runs.groupBy("method", "level").agg(*figures).join(at_ranks(runs, ["method", "level"], "latency_ms", ranks), ["method", "level"])
+    return by_method.unionByName(by_both).select("method", "level", "n", "mean_ms", "p50_ms", "p95_ms", "throughput")
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
-    values = F.sort_array(F.collect_list("latency_ms"))
-    return runs.groupBy("method").agg(F.round(F.stddev_pop("latency_ms"), 4).alias("sd"), floor_rank(values, 0.5).alias("p50"), floor_rank(values, 0.95).alias("p95"))
+    ranks = at_ranks(runs, ["method"], "latency_ms", {"p50": floor_rank(0.5), "p95": floor_rank(0.95)})
+    return runs.groupBy("method").agg(F.round(F.stddev_pop("latency_ms"), 4).alias("sd")).join(ranks, "method")
 
 
 def consistency(rows: DataFrame) -> DataFrame:
@@ -107,8 +128,6 @@ def scenario_pairs(rows: DataFrame) -> DataFrame:
     A scenario is a handful of explanations; pairs come from counting, in order
     of start, how many earlier intervals ended before: an ordered pass, no product.
     """
-    from pyspark.sql import Window
-
     n = rows.groupBy("id").agg(F.count(F.lit(1)).alias("items"))
     lo, hi = F.least("start_year", "end_year"), F.greatest("start_year", "end_year")
     marks = rows.select("id", lo.alias("at"), F.lit(1).alias("opens")).unionByName(rows.select("id", hi.alias("at"), F.lit(0).alias("opens")))

@@ -51,9 +51,14 @@ def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resolve(questions: DataFrame, nodes: DataFrame, max_hits: int = 5) -> DataFrame:
-    """Questions (q_id, mention) -> q_id, node_uid, label, rank: equal labels, in order of uid."""
+    """Questions (q_id, mention) -> q_id, node_uid, label, rank: equal labels, in order of uid.
+
+    The nodes of a label are ranked and cut to ``max_hits`` before they meet the
+    mentions (a limit that Spark applies ahead of its shuffle), so a common label
+    costs each mention no more than it can return.
+    """
     q = questions.withColumn("key", norm(F.col("mention")))
-    n = nodes.select("node_uid", "label", norm(F.col("label")).alias("key"))
+    n = capped(nodes.select("node_uid", "label", norm(F.col("label")).alias("key")), ["key"], ["node_uid"], max_hits)
     order = Window.partitionBy("q_id").orderBy("node_uid")
     return q.join(n, "key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_hits).select("q_id", "node_uid", "label", "rank")
 
@@ -106,12 +111,22 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int = 4, year: int | No
     return seen.where("hops > 0")
 
 
+#: Years that one row of a long interval is unfolded to; intervals beyond it are dealt out in pieces first.
+YEARS_AT_ONCE = 1000
+
+
 def year_hierarchy(edges: DataFrame) -> DataFrame:
-    """One inferred edge from each dated edge's source to each year it touches."""
+    """One inferred edge from each dated edge's source to each year it touches.
+
+    Geological intervals touch millions of years: an interval is first cut into
+    pieces of ``YEARS_AT_ONCE``, which are spread over the tasks before they are unfolded.
+    """
     dated = edges.where("start_year is not null or end_year is not null")
     lo, hi = F.least("start_year", "end_year"), F.greatest("start_year", "end_year")
-    year = F.explode(F.sequence(lo, hi)).alias("year")
-    return dated.select("edge_uid", "source_uid", year, F.when(lo == hi, "within_year").otherwise("spans_year").alias("relation"))
+    kind = F.when(lo == hi, "within_year").otherwise("spans_year").alias("relation")
+    pieces = dated.select("edge_uid", "source_uid", kind, hi.alias("hi"), F.explode(F.sequence(lo, hi, F.lit(YEARS_AT_ONCE).cast("bigint"))).alias("lo"))
+    spread = pieces.hint("rebalance", "edge_uid", "lo")
+    return spread.select("edge_uid", "source_uid", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + (YEARS_AT_ONCE - 1)))).alias("year"), "relation")
 
 
 def entity_parents(nodes: DataFrame) -> DataFrame:

@@ -40,8 +40,11 @@ def tiered(edges: DataFrame, by: list[str]) -> DataFrame:
     """Of each group the best tier only: base or gold facts, else any fact, else everything."""
     structural = F.col("relation").isin(*STRUCTURAL)
     tier = F.when(F.col("edge_type").isin(*FACTUAL_TYPES) & ~structural, 0).when(~structural, 1).otherwise(2)
-    best = F.min("tier").over(Window.partitionBy(*by))
-    return edges.withColumn("tier", tier).withColumn("best", best).where("tier = best").drop("best")
+    told = edges.withColumn("tier", tier)
+    # the best tier is a minimum, combined before the shuffle: no group has to meet in one task
+    best = told.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("tier").alias("best"))
+    same = [told[c].eqNullSafe(best[f"_{c}"]) for c in by]
+    return told.join(best, [*same, told["tier"] == best["best"]], "left_semi")
 
 
 def state_at(questions: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
@@ -99,18 +102,30 @@ def analogical(edges: DataFrame, year: int) -> DataFrame:
     return pick.select("source_uid", F.col("rel").alias("relation"), "b_uid", F.col("p.c_uid").alias("c_uid"), F.col("p.support_count").alias("support_count"))
 
 
-def as_of(anchors: DataFrame, terms: DataFrame) -> DataFrame:
+def as_of(anchors: DataFrame, terms: DataFrame, width: int = 32) -> DataFrame:
     """Predecessor and successor of each anchor term (role, holder, start_year, end_year):
-    the holder whose term ended latest by its start, and who started earliest after it."""
-    before = anchors.select("role", F.col("holder").alias("anchor"), F.col("start_year").alias("at"), F.lit(1).alias("late"))
-    # one ordered pass for each role instead of a product of its terms
-    ends = terms.select("role", F.lit(None).cast("string").alias("anchor"), F.col("end_year").alias("at"), F.lit(0).alias("late"), F.struct(F.col("end_year").alias("y"), "holder").alias("t"))
-    w = Window.partitionBy("role").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    none = F.lit(None).cast(dict(ends.dtypes)["t"])
-    prev = ends.unionByName(before.withColumn("t", none)).withColumn("p", F.max("t").over(w)).where("anchor is not null").select("role", "anchor", F.col("at").alias("start_year"), F.col("p.holder").alias("predecessor"))
-    starts = terms.select("role", F.lit(None).cast("string").alias("anchor"), F.col("start_year").alias("at"), F.lit(1).alias("late"), F.struct(F.col("start_year").alias("y"), "holder").alias("t"))
-    v = Window.partitionBy("role").orderBy(F.desc("at"), F.desc("late")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = before.withColumn("late", F.lit(2)).withColumn("t", none)
-    nxt = starts.unionByName(after).withColumn("late", F.when(F.col("anchor").isNotNull(), 2).otherwise(1)).withColumn("s", F.min("t").over(v)).where("anchor is not null")
-    nxt = nxt.select("role", "anchor", F.col("at").alias("start_year"), F.col("s.holder").alias("successor"))
-    return prev.join(nxt, ["role", "anchor", "start_year"])
+    the holder whose term ended latest by its start, and who started earliest after it.
+
+    A role's time line is cut into stretches of ``width``.  Each stretch is one
+    ordered pass of its own; what lies before (or after) it comes from the best of
+    the other stretches, a row for each, so no task holds the terms of a role.
+    """
+    asked = anchors.select("role", F.col("holder").alias("anchor"), F.col("start_year").alias("at"))
+
+    def nearest(when: str, after: bool) -> DataFrame:
+        known = terms.select("role", F.lit(None).cast("string").alias("anchor"), F.col(when).alias("at"), F.struct(F.col(when).alias("y"), "holder").alias("t"))
+        none = F.lit(None).cast(dict(known.dtypes)["t"])
+        both = known.unionByName(asked.withColumn("t", none)).withColumn("stretch", F.floor(F.col("at") / width))
+        best = F.min if after else F.max
+        asks = F.col("anchor").isNotNull()
+        # of equal times, ends count for an anchor and starts do not
+        order = [F.desc("at"), F.desc(asks)] if after else ["at", asks]
+        own = Window.partitionBy("role", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = both.withColumn("own", best("t").over(own)).where(asks)
+        beyond = Window.partitionBy("role").orderBy(F.desc("stretch") if after else "stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = both.groupBy("role", "stretch").agg(best("t").alias("t")).select("role", "stretch", best("t").over(beyond).alias("carried"))
+        return found.join(carried, ["role", "stretch"]).select("role", "anchor", "at", F.coalesce("own", "carried").getField("holder").alias("holder"))
+
+    before = nearest("end_year", False).withColumnRenamed("holder", "predecessor")
+    later = nearest("start_year", True).withColumnRenamed("holder", "successor")
+    return before.join(later, ["role", "anchor", "at"]).withColumnRenamed("at", "start_year")

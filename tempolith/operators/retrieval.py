@@ -71,8 +71,18 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float =
 
 
 def over_max(scores: DataFrame) -> DataFrame:
-    top = F.max("score").over(Window.partitionBy("q_id"))
-    return scores.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)))
+    """Scores over the best of their question; the best is combined before it is shuffled."""
+    top = scores.groupBy(F.col("q_id").alias("_q")).agg(F.max("score").alias("_top"))
+    joined = scores.join(top, scores["q_id"].eqNullSafe(top["_q"]))
+    return joined.withColumn("score", F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.lit(0.0))).drop("_q", "_top")
+
+
+def min_max(scores: DataFrame) -> DataFrame:
+    """Scores between the worst (0) and the best (1) of their question; 1 where all are equal."""
+    ends = scores.groupBy(F.col("q_id").alias("_q")).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    joined = scores.join(ends, scores["q_id"].eqNullSafe(ends["_q"]))
+    level = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
+    return joined.withColumn("score", level).drop("_q", "_lo", "_hi")
 
 
 def top_k(scores: DataFrame, k: int, *order) -> DataFrame:
@@ -98,7 +108,8 @@ def hybrid(dense: DataFrame, sparse: DataFrame, sparse_weight: float = DEFAULT_S
 
 
 def rrf(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two scored lists; an item that a list lacks ranks k behind its end."""
+    """Reciprocal rank fusion of two scored lists; an item that a list lacks ranks k behind its end.
+    The lists are results of searches (:func:`top_k`), so a question has a bounded number of items."""
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("q_id")
