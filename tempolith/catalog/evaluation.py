@@ -118,10 +118,3 @@ def op_j14_scenario_pairs(spark: SparkSession, d: str) -> DataFrame:
 def op_m7_unit_scores(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
     return p.read(spark, d, "part").select("p_partkey", likert_unit(s).cast("double").alias("unit"), F.round(accuracy(s / 50.0, F.lit(0.5), F.lit(1.0), s > 40), 6).alias("accuracy"), (1 + F.least(F.lit(4), F.floor(s / 3))).cast("int").alias("level"))
-
-
-@op("SELECT c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'interval' WHEN 'AUTOMOBILE' THEN 'point' WHEN 'MACHINERY' THEN 'causal' ELSE 'other' END AS bucket, count(*) AS n FROM customer GROUP BY 1, 2")
-def op_p21_buckets(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("c_mktsegment")
-    b = F.when(m == "BUILDING", "interval").when(m == "AUTOMOBILE", "point").when(m == "MACHINERY", "causal").otherwise("other")
-    return p.read(spark, d, "customer").groupBy("c_mktsegment", b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import timefn as tf
 from ..functions.timex import temporal_expressions
-from ..plans import nlg, planner
+from ..plans import planner
 from ..sources import projection as p
 from ..vocabulary import MARKERS
 from .base import op
@@ -181,31 +181,3 @@ def op_p23_validate(spark: SparkSession, d: str) -> DataFrame:
     f = _frames(spark, d).join(size, "id")
     f = f.withColumn("slots", F.when((F.col("id") % 3 == 0) & (F.col("p_size") > 25), F.map_filter("slots", lambda k, v: k != "metric")).otherwise(F.col("slots")))
     return planner.validate(f)
-
-
-def _facts(spark: SparkSession, d: str) -> DataFrame:
-    o = p.read(spark, d, "orders")
-    none = F.lit(None).cast("string")
-    k = F.col("o_orderkey")
-    kind = F.when(k % 3 == 0, "point_in_time").when(k % 3 == 1, "interval").otherwise("causality")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return o.select(
-        k.alias("id"), kind.alias("fact_type"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("entity"), F.lit("placed an order").alias("event"), day.alias("date"),
-        F.date_format("o_orderdate", "yyyy").alias("start_date"), F.when(k % 6 != 1, F.date_format(F.add_months("o_orderdate", 12), "yyyy")).alias("end_date"),
-        F.lit("demand").alias("cause"), F.col("o_orderpriority").alias("effect"), none.alias("duration"), F.lit(None).cast("array<string>").alias("events"),
-    )
-
-
-@op("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 1 THEN 'end_date' ELSE '' END AS missing FROM orders")
-def op_r15_fact_validation(spark: SparkSession, d: str) -> DataFrame:
-    return nlg.missing_fields(_facts(spark, d))
-
-
-@op("SELECT o_orderkey AS id, 0 AS template, 'Customer ' || CAST(o_custkey AS VARCHAR) || ' placed an order on ' || strftime(o_orderdate, '%Y-%m-%d') || '.' AS text FROM orders WHERE o_orderkey % 3 = 0")
-def op_r17_render_point(spark: SparkSession, d: str) -> DataFrame:
-    return nlg.render(_facts(spark, d)).where("fact_type = 'point_in_time' and template = 0").select("id", "template", "text")
-
-
-@op()
-def op_r28_best_template(spark: SparkSession, d: str) -> DataFrame:
-    return nlg.best_template(nlg.render(_facts(spark, d)))

@@ -89,8 +89,3 @@ def op_j16_staleness(spark: SparkSession, d: str) -> DataFrame:
 def op_t1_triggers(spark: SparkSession, d: str) -> DataFrame:
     e = p.read(spark, d, "events").withColumn("context_id", F.col("event_id"))
     return tms.fire_triggers(e, {"high": "value > 90", "purchase": "event_type = 'purchase' and value > 50"})
-
-
-@op("SELECT event_id, list_sort(list_distinct([fact_id, input_fact])) AS facts FROM fired", graph=True)
-def op_u2_fact_sets(spark: SparkSession, d: str) -> DataFrame:
-    return p.traces(spark, d).select("event_id", F.sort_array(F.array_distinct(F.array("fact_id", "input_fact"))).alias("facts"))

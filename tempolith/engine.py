@@ -96,7 +96,7 @@ class Engine:
         return nlg.render(facts)
 
     def best(self, facts: DataFrame) -> DataFrame:
-        return nlg.best_template(nlg.render(facts))
+        return nlg.best_template(facts)
 
     def readability(self, texts: DataFrame) -> DataFrame:
         return texts.select("*", flesch(F.col("text")).alias("flesch"), density(F.col("text")).alias("density"))

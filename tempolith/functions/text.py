@@ -81,11 +81,57 @@ def mermaid_id(label: Column) -> Column:
     return F.regexp_replace(label, "[^A-Za-z0-9_]", "_")
 
 
-def join_and(items: Column) -> Column:
-    """a; a and b; a, b and c."""
+def join_and(items: Column, last: str = " and ") -> Column:
+    """a; a and b; a, b and c (or with ``last`` in place of the last "and" of three and more)."""
+    items = F.filter(items, lambda x: x != "")
     n = F.size(items)
+    head = lambda sep: F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(1))), sep)
     return (
         F.when(n == 0, "")
         .when(n == 1, F.get(items, F.lit(0)))
-        .otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(items, -1)))
+        .when(n == 2, F.concat(head(", "), F.lit(" and "), F.element_at(items, -1)))
+        .otherwise(F.concat(head(", "), F.lit(last), F.element_at(items, -1)))
     )
+
+
+def truncate(text: Column, most: int) -> Column:
+    """The first ``most`` words; a text that has no more stays as it is."""
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.when(F.size(words) <= most, text).otherwise(F.array_join(F.slice(words, 1, most), " "))
+
+
+def stylised(text: Column, style: Column) -> Column:
+    """A text in the manner of a generator."""
+    said = F.when(style == "hybrid", F.concat(text, F.lit(" This highlights the main temporal relationship."))).when(style == "seq2seq", F.concat(F.lit("Summary: "), text)).otherwise(text)
+    return F.when(F.coalesce(text, F.lit("")) == "", text).otherwise(said)
+
+
+def at_granularity(text: Column, scale: Column) -> Column:
+    """A text told at a scale; at decades, each run of four digits becomes its decade."""
+    told = F.when(scale == "decades", F.regexp_replace(text, r"(\d{3})\d", "$10s")).otherwise(text)
+    said = F.concat(F.lit("At "), F.when(scale == "decades", "decade").otherwise(scale), F.lit(" granularity, "), told)
+    return F.when(F.coalesce(text, F.lit("")) == "", text).otherwise(said)
+
+
+def token_estimate(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), word_count(text)))
+
+
+def percent_encoded(text: Column) -> Column:
+    """Characters that addresses and S-expressions may hold; all others as their bytes."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def clean_answer(raw: Column) -> Column:
+    """The short answer in what a model says: no thinking, no preamble, first line, bare yes or no,
+    no wrapping marks, the year of a full date, ten words or the first sentence of more."""
+    t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<think>.*?</think>", ""))
+    t = F.regexp_replace(t, r"(?i)^\s*(?:the answer is|answer|final answer|output)[:\s]+", "")
+    t = F.regexp_extract(t, r"^\s*([^\n\r]*)", 1)
+    answer = F.initcap(F.regexp_extract(t, r"(?i)^\s*(yes|no)\b", 1))
+    edge = r"""[\s"'`.,;:()\[\]{}]+"""
+    bare = F.regexp_replace(t, f"^{edge}|{edge}$", "")
+    year = F.regexp_extract(bare, r"^(\d{4})[-/\s]\d{1,2}[-/\s]\d{1,2}$", 1)
+    sentence = F.regexp_replace(F.regexp_extract(bare, r"^(.*?[.!?])", 1), r"[.!?\s]+$", "")
+    short = F.when(word_count(bare) <= 10, bare).when(sentence != "", sentence).otherwise(truncate(bare, 8))
+    return F.when(answer != "", answer).when(year != "", year).otherwise(short)

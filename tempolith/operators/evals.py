@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fidelity import lcs_length, mean_of_present, safe_float
+from ..functions.text import tokens
+from ..functions.timefn import years_in
 
 
 def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -135,3 +138,69 @@ def scenario_pairs(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     apart = by_year.withColumn("over", F.coalesce(F.sum("ended").over(before), F.lit(0))).groupBy("id").agg(F.sum(F.col("opened") * F.col("over")).alias("contradicting"))
     return n.join(apart, "id").select("id", (F.col("items") * (F.col("items") - 1) / 2).cast("bigint").alias("pairs"), F.col("contradicting").cast("bigint").alias("contradicting"))
+
+
+def accuracy_means(scored: DataFrame) -> DataFrame:
+    """The five means of scored texts (date_score, entity_score, relation_score, hallucinated, overall)."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return scored.agg(*[mean(c).alias(c) for c in ("date_score", "entity_score", "relation_score")], mean("hallucinated").alias("hallucination_rate"), mean("overall").alias("overall"))
+
+
+def accuracy_by_type(scored: DataFrame) -> DataFrame:
+    """By kind: overall accuracy, that of templates and of polished texts, and the gap between both."""
+    of = lambda s: F.avg(F.when(F.col("source") == s, F.col("overall")))
+    out = scored.groupBy("kind").agg(F.avg("overall").alias("o"), of("template").alias("t"), of("polished").alias("p"))
+    return out.select("kind", F.round("o", 6).alias("overall"), F.round("t", 6).alias("template_accuracy"), F.round("p", 6).alias("polished_accuracy"), F.round(F.col("t") - F.col("p"), 6).alias("gap"))
+
+
+def cognitive_load(rows: DataFrame, parts: list[str], effort: str) -> DataFrame:
+    """By condition: the mean of each row's mean of the load parts that it has, and the mean effort."""
+    tlx = mean_of_present(*[F.col(c) for c in parts])
+    return rows.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(tlx), 4).alias("tlx"), F.round(F.avg(safe_float(F.col(effort))), 6).alias("effort"))
+
+
+#: What a study has to show: relative success, confidence in points, relative time saved, agreement of experts.
+CRITERIA = {"success": 0.20, "confidence": 0.30, "time": 0.15, "agreement": 0.70}
+
+
+def success_criteria(summary: DataFrame) -> DataFrame:
+    """domain and a verdict for each criterion; null where there is no figure."""
+    return summary.select("domain", *[(F.col(c) >= least).alias(c) for c, least in CRITERIA.items()])
+
+
+def positional_accuracy(rows: DataFrame) -> DataFrame:
+    """Of arrays predicted and gold, compared place by place up to the shorter: accuracy and places."""
+    n = F.least(F.size("predicted"), F.size("gold"))
+    hits = F.size(F.filter(F.arrays_zip(F.slice("predicted", F.lit(1), n).alias("a"), F.slice("gold", F.lit(1), n).alias("b")), lambda x: x["a"].eqNullSafe(x["b"])))
+    out = rows.agg(F.sum(hits).alias("hits"), F.sum(n).alias("total"))
+    return out.select(F.round(F.coalesce(F.try_divide("hits", "total"), F.lit(0.0)), 6).alias("accuracy"), "total")
+
+
+def qa_metrics(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Overall, by ``a`` and by ``b``: answers, exact and contained ones, mean latency."""
+    g = rows.groupingSets([[], [a], [b]], a, b)
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("exact"), 6).alias("exact"), F.round(F.avg("contains"), 6).alias("contains"), F.round(F.avg("latency"), 4).alias("latency"))
+
+
+def first_route(routes: list[DataFrame]) -> DataFrame:
+    """uid, route: each uid once, under the first of the routes (tables of uids) that has it."""
+    every = None
+    for k, r in enumerate(routes, 1):
+        one = r.select("uid", F.lit(k).alias("route"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("uid").agg(F.min("route").alias("route"))
+
+
+def pair_scores(rows: DataFrame) -> DataFrame:
+    """Pairs of the explanations of a scenario (id, item, text): do their years contradict, how many
+    words do they share, how far do their years run in one order.  A scenario has a handful."""
+    told = rows.withColumn("words", F.array_distinct(tokens(F.col("text")))).withColumn("years", years_in(F.col("text")))
+    side = lambda s: told.select("id", *[F.col(c).alias(f"{s}_{c}") for c in ("item", "words", "years")])
+    both = side("a").join(side("b"), "id").where("a_item < b_item")
+    apart = (F.array_max("a_years") < F.array_min("b_years")) | (F.array_max("b_years") < F.array_min("a_years"))
+    union = F.size(F.array_union("a_words", "b_words"))
+    return both.select(
+        "id", "a_item", "b_item", F.coalesce(apart, F.lit(False)).alias("contradicts"),
+        F.when(union == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect("a_words", "b_words")), union)).alias("overlap"),
+        F.coalesce(F.try_divide(lcs_length(F.col("a_years"), F.col("b_years")), F.greatest(F.size("a_years"), F.size("b_years"))), F.lit(0.0)).alias("year_order"),
+    )

@@ -111,6 +111,35 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int = 4, year: int | No
     return seen.where("hops > 0")
 
 
+def witness_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
+    """(q_id, start_uid, end_uid) -> q_id, hops, nodes, edges (uids): a shortest simple path for each
+    pair, of several the first in order of its edges; nulls where there is none of ``max_hops``.
+
+    Breadth first, all questions at once: a question keeps one path to each node that it has
+    reached, so its table grows by nodes, never by paths.  Questions whose end is reached walk no further.
+    """
+    step = edges.select(F.col("source_uid").alias("at"), F.col("target_uid").alias("to"), "edge_uid")
+    ends = pairs.select("q_id", "end_uid")
+    front = pairs.select("q_id", F.col("start_uid").alias("at"), F.array("start_uid").alias("nodes"), F.array().cast("array<string>").alias("path"))
+    seen, found = front.select("q_id", "at"), None
+    for _ in range(max_hops):
+        grown = front.join(step, "at").groupBy("q_id", F.col("to").alias("at")).agg(F.min(F.struct(F.concat("path", F.array("edge_uid")).alias("path"), F.concat("nodes", F.array("to")).alias("nodes"))).alias("b"))
+        grown = written(grown.join(seen, ["q_id", "at"], "left_anti").select("q_id", "at", "b.nodes", "b.path").join(ends, "q_id"), "front")
+        hit = grown.where("at = end_uid").select("q_id", F.size("path").alias("hops"), "nodes", F.col("path").alias("edges"))
+        found = hit if found is None else found.unionByName(hit)
+        front = grown.join(hit.select("q_id"), "q_id", "left_anti").drop("end_uid")
+        seen = seen.unionByName(front.select("q_id", "at"))
+    return pairs.select("q_id").join(found, "q_id", "left")
+
+
+def path_steps(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """q_id, steps: found paths as arrays of struct(source, relation, target, time) with labels."""
+    each = paths.where("edges is not null").select("q_id", F.posexplode("edges").alias("k", "edge_uid"))
+    told = each.join(labelled(edges, nodes), "edge_uid")
+    step = F.struct("k", F.struct(F.col("source_label").alias("source"), "relation", F.col("target_label").alias("target"), F.col("start_year").cast("string").alias("time")).alias("s"))
+    return told.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("steps"))
+
+
 #: Years that one row of a long interval is unfolded to; intervals beyond it are dealt out in pieces first.
 YEARS_AT_ONCE = 1000
 

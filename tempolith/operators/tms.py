@@ -139,3 +139,45 @@ def explain_fact(paths: DataFrame) -> DataFrame:
     """query_id, fact_id, text: the paths of each fact in words."""
     lines = F.sort_array(F.collect_set(F.array_join("path", " | ")))
     return paths.groupBy("query_id", "fact_id").agg(F.array_join(lines, " || ").alias("text"))
+
+
+def upsert_claims(told: DataFrame) -> DataFrame:
+    """claim_id, claim, confidence, evidence: of claims (claim_id, claim, confidence, evidence array, seq) the last
+    wording and confidence, held to 0..1, and all evidence in the order in which it came."""
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    last = F.max_by(F.struct("claim", sure.alias("confidence")), "seq")
+    grouped = told.groupBy("claim_id").agg(last.alias("l"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])).alias("evidence"))
+    return grouped.select("claim_id", "l.claim", "l.confidence", "evidence")
+
+
+def add_support(beliefs: DataFrame, supports: DataFrame) -> DataFrame:
+    """Beliefs (belief_id, support_id, status) with further supports (belief_id, support_id), each once; a
+    support of a belief that is not known is dropped."""
+    state = beliefs.select("belief_id", "status").distinct()
+    new = supports.join(state, "belief_id").select("belief_id", "support_id", "status")
+    return beliefs.select("belief_id", "support_id", "status").unionByName(new).distinct()
+
+
+def shifted(beliefs: DataFrame, delta: str) -> DataFrame:
+    """Counterfactual beliefs (belief_id, payload map): each depends on the original and carries the shift."""
+    payload = F.map_concat("payload", F.create_map(F.lit("counterfactual_time_shift"), F.lit(delta)))
+    return beliefs.select(F.concat(F.lit("cf_"), "belief_id").alias("belief_id"), F.col("belief_id").alias("support_id"), payload.alias("payload"), F.lit("active").alias("status"))
+
+
+def conclusions(traces: DataFrame) -> DataFrame:
+    """query_id, fact_id: what a trace concluded, each once, in order of the first firing."""
+    first = traces.groupBy("query_id", "fact_id").agg(F.min(F.struct("fired_us", "event_id")).alias("at"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", "fact_id", "rank")
+
+
+def with_changed_status(records: DataFrame, key: str, changed: DataFrame, status: str) -> DataFrame:
+    """The records with a new status where their key is among the changed ones: what a rewritten store holds."""
+    hit = changed.select(F.col(key)).distinct().withColumn("_hit", F.lit(True))
+    return records.join(hit, key, "left").withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).drop("_hit")
+
+
+def within_budget(firings: DataFrame, budget_ms: float) -> DataFrame:
+    """Firings with the overhead that their query has spent up to them, and whether they are dropped for it."""
+    order = Window.partitionBy("query_id").orderBy("fired_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = firings.withColumn("spent_ms", F.sum("overhead_ms").over(order))
+    return spent.withColumn("dropped", F.col("spent_ms") > budget_ms)
