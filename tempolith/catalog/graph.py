@@ -74,12 +74,6 @@ def op_p11_era_filter(spark: SparkSession, d: str) -> DataFrame:
     return p.edges(spark, d).where("start_year is not null").withColumn("n", n).where(near | (F.col("n") < 3)).select("edge_uid")
 
 
-@op("""SELECT c.node_uid AS a_uid, r.node_uid AS b_uid FROM tkg_nodes c JOIN tkg_nodes r ON r.category = 'product' AND c.category = 'product' AND c.label = r.label AND c.node_uid < r.node_uid""", graph=True)
-def op_p12_label_overlap(spark: SparkSession, d: str) -> DataFrame:
-    n = p.nodes(spark, d).where("category = 'product'")
-    return n.select("label", F.col("node_uid").alias("a_uid")).join(n.select("label", F.col("node_uid").alias("b_uid")), "label").where("a_uid < b_uid").select("a_uid", "b_uid")
-
-
 @op(f"SELECT edge_uid, CASE WHEN start_year IS NULL AND end_year IS NULL THEN 1 WHEN {IN_1998} THEN 0 WHEN least(abs(coalesce(start_year, end_year) - 1998), abs(coalesce(end_year, start_year) - 1998)) <= 1 THEN 2 ELSE 9 END AS priority FROM tkg_edges", graph=True)
 def op_p14_year_priority(spark: SparkSession, d: str) -> DataFrame:
     return p.edges(spark, d).select("edge_uid", year_priority(F.col("start_year"), F.col("end_year"), 1998).alias("priority"))

@@ -17,10 +17,15 @@ def _in_year(year):
     return overlaps_year(F.col("start_year"), F.col("end_year"), year)
 
 
+def factual(edges: DataFrame) -> DataFrame:
+    """Base edges and gold facts."""
+    return edges.where(F.col("edge_type").isin(*FACTUAL_TYPES))
+
+
 def reason_of(questions: DataFrame, edges: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, label, year) -> the causes of what bears the label, best supported first."""
     targets = questions.join(nodes.select(F.col("node_uid").alias("target_uid"), "label"), "label")
-    causes = edges.where(F.col("relation").isin(*CAUSAL) & F.col("edge_type").isin(*FACTUAL_TYPES))
+    causes = factual(edges).where(F.col("relation").isin(*CAUSAL))
     hit = causes.join(targets, "target_uid").where(_in_year(F.col("year")))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("support_count"), "edge_uid"))
     out = hit.withColumn("rank", rank).where(F.col("rank") <= k)
