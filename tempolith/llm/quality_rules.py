@@ -19,8 +19,8 @@ own; repeated rows count each time; ties do not matter (verdicts come from count
 An empty table gives an empty result.  Extra columns are ignored, whatever their names.
 
 Long texts: a text is one row, its words one array; repeated windows are found
-by comparing the number of distinct windows first, and only texts that have
-repeats pay for a sort.  Windows are compared as words, not by hash.
+by comparing the number of distinct window hashes first, and only texts that have
+repeats pay for a sort.  Windows that share a hash are compared as words.
 """
 
 from __future__ import annotations
@@ -52,10 +52,16 @@ def _repeat_words(words: Column) -> Column:
     def covered(hashes: Column) -> Column:
         order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def starts(s: Column) -> Column:
+        def repeated(s: Column) -> Column:
             same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-            found = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-            return F.sort_array(F.transform(found, lambda x: x["i"]))
+            return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+
+        def spelt(s: Column) -> Column:
+            # windows that share a hash meet again by their words
+            return F.array_sort(F.transform(s, lambda x: F.struct(F.array_join(F.slice(words, x["i"] + 1, WINDOW), " ").alias("h"), x["i"].alias("i"))))
+
+        def starts(s: Column) -> Column:
+            return F.sort_array(F.transform(repeated(s), lambda x: x["i"]))
 
         def length(st: Column) -> Column:
             return F.aggregate(
@@ -68,9 +74,11 @@ def _repeat_words(words: Column) -> Column:
                 lambda a: a["sum"],
             )
 
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(_let(order, starts), length))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(
+            _let(_let(_let(_let(order, repeated), spelt), starts), length)
+        )
 
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
+    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
     return F.when(n <= WINDOW, F.lit(0).cast("long")).otherwise(_let(windows, covered))
 
 
