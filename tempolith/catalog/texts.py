@@ -173,11 +173,3 @@ def op_n6_canonical(spark: SparkSession, d: str) -> DataFrame:
 def op_y2_parse_slots(spark: SparkSession, d: str) -> DataFrame:
     m = planner.parse_slots(F.col("query"))
     return planner.canonical(_frames(spark, d)).select("id", F.size(m).alias("n_slots"), F.try_element_at(m, F.lit("metric")).alias("metric"))
-
-
-@op("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_size > 25 THEN 'missing metric' ELSE '' END AS errors, NOT (p_partkey % 3 = 0 AND p_size > 25) AS valid FROM part")
-def op_p23_validate(spark: SparkSession, d: str) -> DataFrame:
-    size = p.read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    f = _frames(spark, d).join(size, "id")
-    f = f.withColumn("slots", F.when((F.col("id") % 3 == 0) & (F.col("p_size") > 25), F.map_filter("slots", lambda k, v: k != "metric")).otherwise(F.col("slots")))
-    return planner.validate(f)

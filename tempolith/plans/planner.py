@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The 18 types of question that plans can have.
-QUERY_TYPES = (
-    "state_at_time", "state_in_interval", "overlap", "existence_in_time", "first_occurrence", "last_occurrence", "ordering", "temporal_count", "top_k",
-    "temporal_path_existence", "path", "reachability", "reason_of", "cause_of", "start_affecting", "analogical_transfer", "semantic", "explain",
-)
-
 
 def question_type(text: Column) -> Column:
     """Keyword rules, the most specific first."""
@@ -73,18 +67,3 @@ def parse_slots(query: Column) -> Column:
     keys = F.regexp_extract_all(query, F.lit(r"(\w+)='([^']*)'"), F.lit(1))
     values = F.regexp_extract_all(query, F.lit(r"(\w+)='([^']*)'"), F.lit(2))
     return F.map_from_arrays(keys, values)
-
-
-def validate(frames: DataFrame) -> DataFrame:
-    """Errors of frames (id, intent, slots): slots that an intent needs, and the form of periods."""
-    has = lambda n: F.try_element_at("slots", F.lit(n)).isNotNull()
-    period = F.try_element_at("slots", F.lit("period"))
-    errors = F.array_compact(
-        F.array(
-            F.when((F.col("intent") == "AGG") & ~has("metric"), "missing metric"),
-            F.when(F.col("intent").isin("AGG", "COMPARE") & ~(has("period") | has("period_a")), "missing period"),
-            F.when((F.col("intent") == "CAUSAL") & ~(has("cause") & has("effect")), "missing cause or effect"),
-            F.when(period.isNotNull() & ~period.rlike(r"^\d{4}(-(Q[1-4]|H[12]|\d{2}))?$"), "bad period"),
-        )
-    )
-    return frames.select("id", F.array_join(errors, "; ").alias("errors"), (F.size(errors) == 0).alias("valid"))
