@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .blobs import BYTE_WORDS
+from . import near_dedup
 from .mixing import mix64
-from .near_dedup import _powers
 from .suffix_dedup import LAST_ID
 
 SEED, LEAST, WIDE = 3, 0.8, 2
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 # Published license texts, and the notices and short lines by which licenses are commonly given.
@@ -224,14 +223,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(t) + 1 for t in texts])
     blank = ~_WORD_BYTE[data]
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_WORDS[data] * up[:-1], dtype=np.uint64)])
-        return mix64((total[end] - total[start]) * down[start]), np.searchsorted(np.cumsum(size), start, side="right")
+    hashes, start = near_dedup.word_hashes(data, blank)
+    return hashes, np.searchsorted(np.cumsum(size), start, side="right")
 
 
 def seed_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import map_batches
@@ -273,13 +273,21 @@ def resampled(docs: DataFrame, seed: int = 42, block: int = BLOCK, shard: int =
     fields = base.select("row", *[F.col("whole").getField(c).alias(c) for c in dict.fromkeys((id_col, text_col, source_col))])
     sized = written(_sized(fields, id_col, text_col, source_col, F.col("row")), "sized")
     _, _, streams, uses = _mix(sized, seed, block, shard)
-    spans = _stretches(_taken_blocks(streams, uses, block)).join(sized.where("size > 0").select("row", "size"), "row")
-    found = base.join(spans.hint("merge"), "row")
+    spans = _stretches(_taken_blocks(streams, uses, block)).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    found = base.join(spans.join(sized.where("size > 0").select("row", "size"), "row").hint("merge"), "row")
     text = F.col("whole").getField(text_col)
+
+    def cut(words: Column) -> Column:
+        """Each stretch as text; the words of a document are found once."""
+        part = lambda s: F.array_join(F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")), "")
+        whole_text = lambda s: (s["lo"] == 0) & (s["hi"] == F.col("size"))
+        return F.transform("spans", lambda s: F.when(whole_text(s), text).otherwise(F.regexp_replace(part(s), r"[\x20\x09-\x0D]+$", "")))
+
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.slice(words, (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), "")
-    taken = F.when((F.col("lo") == 0) & (F.col("hi") == F.col("size")), text).otherwise(F.regexp_replace(part, r"[\x20\x09-\x0D]+$", ""))
-    found = found.withColumn("taken", taken)
+    all_whole = F.forall("spans", lambda s: (s["lo"] == 0) & (s["hi"] == F.col("size")))
+    pieces = F.when(all_whole, F.transform("spans", lambda s: text)).otherwise(F.transform(F.array(words), cut)[0])
+    rest = [c for c in names if c not in (text_col, chars_col)]
+    found = found.select(*[F.col("whole").getField(c).alias(f"r{i}") for i, c in enumerate(rest)], F.explode(pieces).alias("taken"))
     types = dict(docs.dtypes)
-    new = {text_col: F.col("taken"), chars_col: F.length("taken").cast(types.get(chars_col, "long"))}
-    return found.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in names])
+    new = {text_col: F.col("taken"), chars_col: F.length("taken").cast(types.get(chars_col, "long"))} | {c: F.col(f"r{i}") for i, c in enumerate(rest)}
+    return found.select(*[new[c].alias(c) for c in names])

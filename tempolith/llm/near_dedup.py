@@ -30,6 +30,7 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ PLACES, ROWS = 96, 4
 BANDS = PLACES // ROWS
 PERCENT = 80
 #: Bytes of text that are hashed together; members of a tile's side, and their shingles on average.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 TILE, TILE_SHINGLES = 2048, 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 
@@ -59,20 +60,44 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+#: Bytes whose powers are in memory at a time.
+SEGMENT = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _segment_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(SEGMENT + 1)
+
+
+def word_hashes(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each run of bytes that are not blank (the last byte is), segment by
+    segment: memory beside the words themselves does not grow with the text."""
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        s0 = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, s0 + SEGMENT, side="right")))
+        part = data[s0 : end[j - 1]]
+        up, down = _segment_powers() if len(part) <= SEGMENT else _powers(len(part) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_WORDS[part] * up[: len(part)], dtype=np.uint64)])
+            a, b = start[i:j] - s0, end[i:j] - s0
+            out[i:j] = mix64((total[b] - total[a]) * down[a])
+        i = j
+    return out, start
+
+
 def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct shingles of text i are hashes[bounds[i]:bounds[i + 1]], sorted."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     size = np.array([len(t) + 1 for t in texts])
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
+    word, start = word_hashes(data, blank)
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_WORDS[data] * up[:-1], dtype=np.uint64)])
-        word = mix64((total[end] - total[start]) * down[start])
         doc = np.searchsorted(np.cumsum(size), start, side="right")
         n_words = np.bincount(doc, minlength=len(texts))
         first = np.cumsum(n_words) - n_words
