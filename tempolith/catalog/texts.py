@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import timefn as tf
+from ..functions import timex
 from ..functions.timex import temporal_expressions
 from ..plans import planner
 from ..sources import projection as p
@@ -123,13 +124,98 @@ def op_f16_markers(spark: SparkSession, d: str) -> DataFrame:
     return p.read(spark, d, "documents").select("doc_id", *[t.has_marker(F.col("text"), k).alias(k) for k in MARKERS])
 
 
-@op("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders""")
+_REF = "CAST(o_orderdate AS DATE)"
+_ISO = lambda x: f"strftime({x}, '%Y-%m-%d')"
+#: Texts of twelve kinds of expression, and what SQL says that they mean.
+_FORMS = [
+    ("It was ordered on {long}.", _ISO(_REF)), ("It was ordered on {iso}.", _ISO(_REF)), ("They met yesterday.", _ISO(f"{_REF} - 1")), ("They meet tomorrow at 3pm.", _ISO(f"{_REF} + 1") + " || 'T15:00'"),
+    ("It came last week.", _ISO(f"{_REF} - 7")), ("It comes in 10 days.", _ISO(f"{_REF} + 10")), ("It left two weeks ago.", _ISO(f"{_REF} - 14")), ("They meet every monday.", "'every-monday'"),
+    ("They meet at 14:30.", "'14:30'"), ("It took 3 days.", "'P3D'"), ("It took 1 hour 30 minutes.", "'PT1H30M'"), ("They rest around noon.", "'12:00'"),
+]
+_N = len(_FORMS)
+
+
+def _told_times(spark: SparkSession, d: str) -> DataFrame:
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % _N
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in _FORMS]), (k + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{long}"), F.date_format(day, "MMMM d, yyyy")), F.lit("{iso}"), F.date_format(day, "yyyy-MM-dd"))
+    return p.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.to_date(day).alias("reference"))
+
+
+_SAID = "CASE o_orderkey % " + str(_N) + " " + " ".join(f"WHEN {i} THEN {x}" for i, (_, x) in enumerate(_FORMS)) + " END"
+
+
+@op(f"SELECT o_orderkey AS id, {_SAID} AS value, CASE WHEN o_orderkey % {_N} <= 6 THEN 'DATE' WHEN o_orderkey % {_N} = 7 THEN 'SET' WHEN o_orderkey % {_N} IN (8, 11) THEN 'TIME' ELSE 'DURATION' END AS type FROM orders")
 def op_d1_timex(spark: SparkSession, d: str) -> DataFrame:
-    """Dates that are written out in texts, found and normalised."""
+    """Expressions in texts, found and normalised."""
+    return temporal_expressions(_told_times(spark, d)).select("id", "value", "type")
+
+
+@op(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {_SAID} END AS value, CASE WHEN o_orderkey % 13 = 0 THEN 'unhandled_expression' ELSE '' END AS errors FROM orders")
+def op_d2_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as expressions; every thirteenth says nothing of time."""
+    t = _told_times(spark, d).withColumn("text", F.when(F.col("id") % 13 == 0, "no time at all").otherwise(F.col("text"))).withColumn("type", F.lit(None).cast("string"))
+    return timex.normalise(t).select("id", "value", F.array_join("errors", ",").alias("errors"))
+
+
+_E = "(SELECT o_orderkey AS id, o_orderkey % 6 AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderdate AS t FROM orders)"
+
+
+@op(f"""SELECT id, CASE k WHEN 0 THEN strftime(t, '%Y-%m') WHEN 1 THEN strftime(t, '%Y-%m') || '-05/' || strftime(t, '%Y-%m') || '-07' WHEN 2 THEN strftime(t, '%Y-%m-%d') || '/' || strftime(CAST(t AS DATE) + 9, '%Y-%m-%d')
+WHEN 3 THEN strftime(t, '%Y-%m-%d') || 'T09:15' WHEN 4 THEN strftime(t, '%Y-%m') || '-03' ELSE CAST(y AS VARCHAR) END AS value FROM {_E}""")
+def op_d6_named_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Months, ranges within a month, ranges of days, days with a time, ordinal days, years."""
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    month, year, iso = F.date_format(day, "MMMM"), F.date_format(day, "yyyy"), F.date_format(day, "yyyy-MM-dd")
+    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    forms = [say(month, " ", year), say(month, " 5-7, ", year), say(iso, " to ", F.date_format(F.date_add(day, 9), "yyyy-MM-dd")), say(iso, " 09:15"), say(month, " 3rd, ", year), say("in ", year)]
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        text = F.when(k == i, f).otherwise(text)
+    t = p.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.to_date(day).alias("reference"))
+    return temporal_expressions(t).select("id", "value")
+
+
+@op("""SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS n, CASE l_linenumber % 4 WHEN 0 THEN 'P' || CAST(l_linenumber AS VARCHAR) || 'Y2M' WHEN 1 THEN 'PT' || CAST(l_linenumber AS VARCHAR) || 'H15M' WHEN 2 THEN 'P3W' ELSE 'P' || CAST(l_linenumber AS VARCHAR) || 'DT6H' END AS value,
+round(CASE l_linenumber % 4 WHEN 0 THEN l_linenumber * 365 + 60 WHEN 1 THEN (l_linenumber * 60 + 15) / 1440.0 WHEN 2 THEN 21 ELSE l_linenumber + 0.25 END, 6) AS days FROM lineitem""")
+def op_d7_durations(spark: SparkSession, d: str) -> DataFrame:
+    n, k = F.col("l_linenumber").cast("string"), F.col("l_linenumber") % 4
+    text = F.when(k == 0, F.concat(n, F.lit(" years and 2 months"))).when(k == 1, F.concat(n, F.lit("h15m"))).when(k == 2, F.lit("three weeks")).otherwise(F.concat(n, F.lit(" days 6 hours")))
+    rows = p.read(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), text.alias("text"), F.lit("DURATION").alias("type"), F.lit("2020-01-01").alias("reference"))
+    out = timex.normalise(rows)
+    return out.select(F.floor(F.col("id") / 100).alias("id"), (F.col("id") % 100).cast("int").alias("n"), "value", F.round(tf.duration_days(F.col("value")), 6).alias("days"))
+
+
+@op("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'every-tuesday' WHEN 1 THEN 'twice-a-week' WHEN 2 THEN 'MO' WHEN 3 THEN '00:00' ELSE 'every-year' END AS value FROM orders""")
+def op_d9_fuzzy_and_recurring(spark: SparkSession, d: str) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, ("every Tuesday", "twice a week", "in the morning", "around midnight", "every year"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return timex.normalise(p.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.lit(None).cast("string").alias("type"), F.to_date("o_orderdate").alias("reference"))).select("id", "value")
+
+
+@op("""SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INT), '%Y-%m-%d') || 'T' || lpad(CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 12 + 12 ELSE o_orderkey % 12 END AS VARCHAR), 2, '0') || ':05' AS value FROM orders""")
+def op_r7_relative_with_clock(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    hour = F.when(k % 12 == 0, 12).otherwise(k % 12).cast("string")
+    text = F.concat(F.when(k % 2 == 0, "today").otherwise("tomorrow"), F.lit(" at "), hour, F.lit(":05 "), F.when(k % 3 == 0, "pm").otherwise("am"))
+    return timex.normalise(p.read(spark, d, "orders").select(k.alias("id"), text.alias("text"), F.lit("DATE").alias("type"), F.to_date("o_orderdate").alias("reference"))).select("id", "value")
+
+
+@op("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS dates, strftime(o_orderdate, '%Y-%m-%d') || '/' || strftime(CAST(o_orderdate AS DATE) + 3, '%Y-%m-%d') AS ranges, 'P3D' AS durations, CAST(3 AS INT) AS n_years FROM orders""")
+def op_r10_mentions(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("o_orderdate")
-    text = F.concat(F.lit("It was ordered on "), F.date_format(day, "MMMM d, yyyy"), F.lit("."))
-    texts = p.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.to_date(day).alias("reference"))
-    return temporal_expressions(texts).where("type = 'DATE'").select("id", "value")
+    iso = F.date_format(day, "yyyy-MM-dd")
+    text = F.concat(F.lit("On "), iso, F.lit(" it began; from "), iso, F.lit(" to "), F.date_format(F.date_add(day, 3), "yyyy-MM-dd"), F.lit(" it lasted, 3 days in all."))
+    m = timex.mentions(p.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.to_date(day).alias("reference")))
+    return m.select("id", *[F.array_join(c, ",").alias(c) for c in ("dates", "ranges", "durations")], F.size("years").alias("n_years"))
+
+
+@op("""SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS DATE) - 1, '%Y-%m-%d') || ',12:00,' || strftime(CAST(o_orderdate AS DATE) + 7, '%Y-%m-%d') AS resolved FROM orders""")
+def op_r8_context(spark: SparkSession, d: str) -> DataFrame:
+    """A document's expressions one after another, against one reference."""
+    docs = p.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.posexplode(F.array(F.lit("yesterday"), F.lit("noon"), F.lit("next week"))).alias("k", "text"), F.to_date("o_orderdate").alias("reference"))
+    out = timex.normalise(docs.select((F.col("doc") * 3 + F.col("k")).alias("id"), "text", F.lit(None).cast("string").alias("type"), "reference"))
+    one = F.struct(F.col("id").alias("id"), "value")
+    return out.groupBy(F.floor(F.col("id") / 3).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["value"]), ",").alias("resolved"))
 
 
 _Q = """(SELECT p_partkey AS q_id, CASE p_partkey % 9 WHEN 0 THEN 'What likely caused ' || p_name || ' around 1998?' WHEN 1 THEN 'When did ' || p_name || ' first start?' WHEN 2 THEN 'How many suppliers had ' || p_name || ' in 1997?'

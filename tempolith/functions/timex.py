@@ -153,3 +153,53 @@ def temporal_expressions(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "start", "end", "text", "type", "value"])
 
     return map_batches(texts.select(F.col("id").cast("long").alias("id"), "text", F.col("reference").cast("date").alias("reference")), run, SPANS)
+
+
+def span_texts(text, spans):
+    """Gold spans (struct start, end, type) with the text that they mark, as a column."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["type"], F.lit("DATE")).alias("type"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+
+
+def normalise_one(text: str, reference: dt.date, kind: str | None = None) -> tuple[str | None, str, list[str]]:
+    """(value, type, errors) of one expression: the first rule, of its kind if that is given and finds
+    something, whose pattern it is as a whole, else the longest that is in it; an expression that no rule knows is an error."""
+    best: tuple | None = None
+    for order, (rule_kind, pattern, f) in enumerate(RULES):
+        for m in pattern.finditer(text.strip()):
+            value = f(m, reference)
+            if value is not None:
+                rank = (rule_kind != kind if kind else False, m.start() - m.end(), order)
+                if best is None or rank < best[0]:
+                    best = (rank, value, rule_kind)
+    if best:
+        return best[1], best[2], []
+    fuzzy = FUZZY.get(text.strip().lower())
+    return (fuzzy, "TIME", []) if fuzzy else (None, kind or "UNKNOWN", ["unhandled_expression"])
+
+
+NORMAL = "id long, value string, type string, errors array<string>"
+
+
+def normalise(expressions: DataFrame) -> DataFrame:
+    """(id, text, type or null, reference) -> id, value, type, errors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [normalise_one(t or "", r, k if isinstance(k, str) else None) for t, k, r in zip(pdf["text"], pdf["type"], pdf["reference"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "value": [o[0] for o in out], "type": [o[1] for o in out], "errors": [o[2] for o in out]})
+
+    return map_batches(expressions.select(F.col("id").cast("long").alias("id"), "text", "type", F.col("reference").cast("date").alias("reference")), run, NORMAL)
+
+
+def mentions(texts: DataFrame) -> DataFrame:
+    """(id, text, reference) -> id and what each text tells of time: dates, ranges (start/end), durations, years, each in order."""
+    found = temporal_expressions(texts).where("value is not null")
+    v = F.col("value")
+    kind = F.when(v.startswith("P"), "duration").when(v.rlike(r"^\d{4}-\d{2}-\d{2}/\d{4}-\d{2}-\d{2}$"), "range").when(v.rlike(r"^\d{4}-\d{2}-\d{2}(?:T.*)?$"), "date")
+    told = found.select("id", "start", kind.alias("kind"), v).where("kind is not null")
+    of = lambda k: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("start", "kind", "value")), lambda x: x["kind"] == k)), lambda x: x["value"]).alias(f"{k}s")
+    grouped = told.groupBy("id").agg(of("date"), of("range"), of("duration"))
+    years = F.transform(F.regexp_extract_all("text", F.lit(r"\b(1\d{3}|2\d{3})\b"), F.lit(1)), lambda y: y.cast("int"))
+    none = F.array().cast("array<string>")
+    full = texts.select("id", years.alias("years")).join(grouped, "id", "left")
+    return full.select("id", *[F.coalesce(c, none).alias(c) for c in ("dates", "ranges", "durations")], F.coalesce("years", F.array().cast("array<int>")).alias("years"))

@@ -92,6 +92,17 @@ def capped(edges: DataFrame, by: list[str], order: list, cap: int) -> DataFrame:
     return edges.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
 
 
+def merged(told: DataFrame, most: int = 1000) -> DataFrame:
+    """Triples (source_uid, relation, target_uid, row_id) as edges: how often each was told, and the rows that told it,
+    in order, ``most`` of them at the most."""
+    # each row once, numbered inside its triple, so that no array grows with a frequent triple
+    triple = ["source_uid", "relation", "target_uid"]
+    counts = told.groupBy(*triple).agg(F.count(F.lit(1)).alias("support_count"))
+    rows = capped(told.distinct(), triple, ["row_id"], most)
+    ids = rows.groupBy(*triple).agg(F.sort_array(F.collect_list("row_id")).alias("source_row_ids"))
+    return counts.join(ids, triple).withColumn("edge_uid", F.concat_ws("|", "relation", "source_uid", "target_uid"))
+
+
 def degree(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("source_uid", "target_uid")).alias("node_uid"))
     return ends.groupBy("node_uid").agg(F.count(F.lit(1)).alias("degree"))

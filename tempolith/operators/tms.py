@@ -146,7 +146,7 @@ def upsert_claims(told: DataFrame) -> DataFrame:
     wording and confidence, held to 0..1, and all evidence in the order in which it came."""
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
     last = F.max_by(F.struct("claim", sure.alias("confidence")), "seq")
-    grouped = told.groupBy("claim_id").agg(last.alias("l"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])).alias("evidence"))
+    grouped = told.groupBy("claim_id").agg(last.alias("l"), F.flatten(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"]), lambda e: e.isNotNull())).alias("evidence"))
     return grouped.select("claim_id", "l.claim", "l.confidence", "evidence")
 
 
@@ -181,3 +181,8 @@ def within_budget(firings: DataFrame, budget_ms: float) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("fired_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spent = firings.withColumn("spent_ms", F.sum("overhead_ms").over(order))
     return spent.withColumn("dropped", F.col("spent_ms") > budget_ms)
+
+
+def listed(beliefs: DataFrame, status: str) -> DataFrame:
+    """belief_id, status of the beliefs that have it."""
+    return beliefs.where(F.col("status") == status).select("belief_id", "status").distinct()

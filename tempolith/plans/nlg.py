@@ -77,7 +77,7 @@ def _library_fields() -> dict[str, Column]:
     events = F.transform(F.coalesce("events", F.array().cast("array<string>")), lambda e: truncate(e, 12))
     n = F.size(events)
     # a sequence of one or two is made three long by repeating the last
-    three = F.when(n < 3, F.concat(events, F.array_repeat(F.element_at(events, -1), 3 - n))).otherwise(events)
+    three = F.when(n < 3, F.concat(events, F.array_repeat(F.try_element_at(events, F.lit(-1)), 3 - n))).otherwise(events)
     sequence = F.col("fact_type") == "sequence"
     event, rest = F.coalesce("event", F.lit("")), F.slice(events, 2, F.greatest(n - 1, F.lit(0)))
     cut = lambda c: F.when(F.col("fact_type") == "causality", truncate(F.col(c), 12)).otherwise(F.col(c))

@@ -45,6 +45,11 @@ def append_log(df: DataFrame, path: str, most: int = 10_000) -> None:
     guarded(df, most).write.mode("append").json(path)
 
 
-def embeddings_to_append(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Keys that are not embedded yet."""
-    return new.join(known.select(key), key, "left_anti")
+def edges_from_json(rows: DataFrame) -> DataFrame:
+    """(id, json) -> id, source, relation, target, time: a row for each edge of a JSON array.  An edge is an array of
+    up to four texts or an object, whose fields go by several names; what it lacks is empty, and what is no edge is left out."""
+    each = rows.select("id", F.explode(F.try_parse_json("json").cast("array<variant>")).alias("v"))
+    names = {"source": ("source", "src", "subject"), "relation": ("relation", "rel", "predicate"), "target": ("target", "tgt", "object"), "time": ("time", "year", "start")}
+    field = lambda path: F.try_variant_get("v", path, "string")
+    cols = [F.coalesce(field(f"$[{i}]"), *[field(f"$.{n}") for n in ns], F.lit("")).alias(c) for i, (c, ns) in enumerate(names.items())]
+    return each.select("id", *cols).where("source <> '' and target <> ''")

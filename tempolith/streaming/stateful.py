@@ -39,9 +39,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> Da
     return g.agg(F.count(F.lit(1)).alias("n_firings")).select(F.col("session_window.start").alias("opened"), F.col("session_window.end").alias("closed"), "query_id", "n_firings")
 
 
-def sampled(events: DataFrame, percent: int, key: str = "event_id") -> DataFrame:
-    """A sample of firings that is the same in every run."""
-    return events.where(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+def sampled(events: DataFrame, percent: int, number=None, key: str = "event_id") -> DataFrame:
+    """A sample of firings that is the same in every run: those whose number from 0 to 99 (a hash of the key, unless
+    ``number`` gives one) is below ``percent``."""
+    return events.where((F.pmod(F.xxhash64(key), F.lit(100)) if number is None else number) < percent)
 
 
 def new_edges(edges: DataFrame, late: str = LATE) -> DataFrame:
