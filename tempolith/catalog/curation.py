@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import computed as co
 from ..operators import dispatch
 from ..operators import evidence as ev
 from ..operators import graph as g
@@ -248,3 +249,48 @@ SELECT qs.q_id, CASE WHEN told IS NULL THEN 'Retrieval did not return supporting
 def op_m6_curated_answers(spark: SparkSession, d: str) -> DataFrame:
     a = ev.answers(ev.displayed(_candidates(spark, d)), _questions(spark, d))
     return a.select("q_id", F.regexp_replace("answer", r" Key entities: .*$", "").alias("answer"), F.round("confidence", 6).alias("confidence"))
+
+
+# --- computed answers --------------------------------------------------------
+
+_TELL = """(SELECT p_partkey AS q_id, split_part(p_name, ' ', 2) AS a, p_brand AS b, 1990 + p_size % 7 AS ya, 1990 + p_partkey % 5 AS yb FROM part)"""
+
+
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """Two dated lines about each part: one on a word of its name, one on its brand."""
+    t = p.read(spark, d, "part")
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    line = lambda s, r, o, y, e=None: F.struct(s.alias("source_label"), F.lit(r).alias("relation"), o.alias("target_label"), y.cast("bigint").alias("start_year"), (F.lit(None) if e is None else e).cast("bigint").alias("end_year"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    ya, yb = 1990 + F.col("p_size") % 7, 1990 + F.col("p_partkey") % 5
+    lines = F.array(line(word, "sold_in", F.lit("Market"), ya), line(brand, "founded", F.lit("Market"), yb), line(F.concat(F.lit("Holder "), brand), "head_of", F.concat(word, F.lit(" board")), ya, ya + 2))
+    return t.select(F.col("p_partkey").alias("q_id"), F.explode(lines).alias("l")).select("q_id", "l.*")
+
+
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    return p.read(spark, d, "part").select(F.col("p_partkey").alias("q_id"), F.concat(F.lit("the "), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("a"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("b"), (F.col("p_partkey") % 2 == 0).alias("later"), F.lit("x").alias("text"))
+
+
+@op(f"SELECT q_id, CASE WHEN ya <= yb THEN 'Yes' ELSE 'No' END AS yes_no, CASE WHEN (ya <= yb) = (q_id % 2 = 0) THEN replace(b, '#', '') ELSE 'the ' || a END AS name FROM {_TELL}")
+def op_n10_orderings(spark: SparkSession, d: str) -> DataFrame:
+    q, e = _two(spark, d), _told(spark, d).where("relation <> 'head_of'")
+    yes = co.ordering_yes_no(q, e).withColumnRenamed("answer", "yes_no")
+    return yes.join(co.ordering_name(q, e).withColumnRenamed("answer", "name"), "q_id")
+
+
+@op(f"SELECT q_id, CASE WHEN ya <= 1994 AND 1994 <= ya + 2 THEN 'Holder ' || replace(b, '#', '') END AS holder, CAST(yb AS VARCHAR) AS year FROM {_TELL}")
+def op_n10_holders_and_years(spark: SparkSession, d: str) -> DataFrame:
+    e, q = _told(spark, d), _two(spark, d)
+    who = co.role_holder(q.select("q_id", F.concat(F.lit("Who led "), "a", F.lit(" board?")).alias("text"), F.lit(1994).alias("year")), e, ["head_of"])
+    when = co.what_year(q.select("q_id", F.concat(F.lit("When was "), "b", F.lit(" founded?")).alias("text")), e, ["founded"])
+    return who.withColumnRenamed("answer", "holder").join(when.withColumnRenamed("answer", "year"), "q_id")
+
+
+@op("""WITH l AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS line FROM orders), m AS (SELECT max(line) AS last FROM l), w AS (SELECT CAST(round(i * last / 6.0) AS BIGINT) AS line FROM m, range(7) t(i))
+SELECT 'kept' AS what, line FROM w UNION ALL SELECT 'left', max(line) - 7 FROM l""")
+def op_g18_line_sampling(spark: SparkSession, d: str) -> DataFrame:
+    o = p.read(spark, d, "orders").select("o_orderkey")
+    lines = o.withColumn("line", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("bigint"))
+    seven = co.spread_lines(lines, 7)
+    rest = co.without_lines(lines, seven)
+    return seven.select(F.lit("kept").alias("what"), "line").unionByName(rest.agg(F.max("line").alias("line")).select(F.lit("left").alias("what"), "line"))

@@ -204,6 +204,7 @@ def op_g17_quality_checks(spark: SparkSession, d: str) -> DataFrame:
     return g.issues(bad, p.nodes(spark, d)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@op()
+@op("""WITH c AS (SELECT e.source_uid, e.edge_uid, '  ' || regexp_replace(s.label, '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || relation || '| ' || regexp_replace(t.label, '[^A-Za-z0-9_]', '_', 'g') AS line, row_number() OVER (PARTITION BY e.source_uid ORDER BY support_count DESC, e.edge_uid) AS r
+FROM tkg_edges e JOIN tkg_nodes s ON s.node_uid = e.source_uid JOIN tkg_nodes t ON t.node_uid = e.target_uid WHERE relation = 'caused') SELECT source_uid, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY r) AS diagram FROM c WHERE r <= 12 GROUP BY source_uid""", graph=True)
 def op_k6_mermaid(spark: SparkSession, d: str) -> DataFrame:
     return mermaid(g.labelled(p.caused_edges(spark, d), p.nodes(spark, d)), "source_uid")

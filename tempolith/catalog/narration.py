@@ -11,6 +11,7 @@ from ..operators import graph as g
 from ..operators import tms
 from ..plans import nlg, paths
 from ..sources import facts as fx
+from ..plans.templates import LIBRARY
 from ..sources import projection as p
 from .base import op
 
@@ -55,6 +56,23 @@ def op_a21_render_all(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("fact_type").agg(F.count("text").alias("n_texts"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("id"))).alias("n_failed"))
 
 
+_CLARITY = ", ".join(f"('{k}', {sum(t[2] for t in ts) / len(ts):.6f}, {len(ts)})" for k, ts in LIBRARY.items())
+
+
+@op(f"SELECT fact_type, CAST(templates AS BIGINT) AS templates, round(clarity, 4) AS clarity FROM (VALUES {_CLARITY}) t(fact_type, clarity, templates)")
+def op_a21_template_report(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.evals import template_report
+
+    return template_report(nlg.readable(nlg.render(_facts(spark, d)))).select("fact_type", "templates", "clarity")
+
+
+@op("SELECT round(avg(CASE WHEN f > 50 THEN 1.0 ELSE 0.0 END), 6) AS coverage, count(*) AS kinds FROM (SELECT l_shipmode AS kind, avg(q) AS f FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_quantity * 2 AS q FROM lineitem) GROUP BY 1)")
+def op_r29_type_coverage(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.evals import type_coverage
+
+    return type_coverage(p.read(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("kind"), (F.col("l_quantity") * 2).alias("flesch")), 50.0)
+
+
 @op(f"""{_F} SELECT id, CASE WHEN k % 8 IN (2, 4) THEN NULL END AS missing_events, CASE WHEN k % 8 = 1 AND y2 IS NULL THEN 'end_date' ELSE '' END AS missing FROM c""".replace("CASE WHEN k % 8 IN (2, 4) THEN NULL END AS missing_events, ", ""))
 def op_r15_fact_validation(spark: SparkSession, d: str) -> DataFrame:
     return nlg.missing_fields(_facts(spark, d))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..vocabulary import MARKERS
 
@@ -135,3 +139,21 @@ def clean_answer(raw: Column) -> Column:
     sentence = F.regexp_replace(F.regexp_extract(bare, r"^(.*?[.!?])", 1), r"[.!?\s]+$", "")
     short = F.when(word_count(bare) <= 10, bare).when(sentence != "", sentence).otherwise(truncate(bare, 8))
     return F.when(answer != "", answer).when(year != "", year).otherwise(short)
+
+
+def _nfkd(value: Column) -> Column:
+    # a local function travels by value, so executors need not have this package
+    def f(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFKD", v) if isinstance(v, str) else None)
+
+    return F.pandas_udf(f, StringType())(value)
+
+
+def folded(value: Column) -> Column:
+    """Compatibility decomposition, lower case, trimmed.  Only texts beyond ASCII leave the JVM for it."""
+    return F.lower(F.trim(F.when(value.rlike(r"[^\x00-\x7F]"), _nfkd(F.when(value.rlike(r"[^\x00-\x7F]"), value))).otherwise(value)))
+
+
+def fold_key(*parts: Column) -> Column:
+    """A digest that is the same for parts that differ in case, outer blanks and compatible forms only."""
+    return F.md5(F.concat_ws("|", *[folded(x) for x in parts]))

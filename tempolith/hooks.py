@@ -65,6 +65,8 @@ def ask(rows: DataFrame, hook: Batch | None, column: str = "prompt", times: int
         for pdf in batches:
             try:
                 answers, error = [None if a is None else str(a) for a in call(pdf["prompt"].tolist())], None
+                if len(answers) != len(pdf):
+                    raise ValueError(f"{len(answers)} answers to {len(pdf)} texts")
             except Exception as e:  # the batch keeps its place; its rows say why they have no answer
                 answers, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
             yield pd.DataFrame({"id": pdf["id"], "answer": answers, "error": error})

@@ -204,3 +204,17 @@ def pair_scores(rows: DataFrame) -> DataFrame:
         F.when(union == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect("a_words", "b_words")), union)).alias("overlap"),
         F.coalesce(F.try_divide(lcs_length(F.col("a_years"), F.col("b_years")), F.greatest(F.size("a_years"), F.size("b_years"))), F.lit(0.0)).alias("year_order"),
     )
+
+
+def type_coverage(texts: DataFrame, least: float = 70.0) -> DataFrame:
+    """Of texts (kind, flesch): the share of kinds whose mean readability is above ``least``."""
+    kinds = texts.groupBy("kind").agg(F.avg("flesch").alias("f"))
+    return kinds.agg(F.round(F.avg((F.col("f") > least).cast("double")), 6).alias("coverage"), F.count(F.lit(1)).alias("kinds"))
+
+
+def template_report(rendered: DataFrame) -> DataFrame:
+    """Of all templates' texts (fact_type, template_id, confidence, text, flesch, density): by kind templates, texts,
+    mean clarity out of five, mean readability and density, and the shares above 45 and above 50."""
+    share = lambda least: F.round(F.avg((F.col("flesch") > least).cast("double")), 6)
+    mean = lambda c: F.round(F.avg(c), 4)
+    return rendered.groupBy("fact_type").agg(F.count_distinct("template_id").alias("templates"), F.count(F.lit(1)).alias("texts"), mean(F.col("confidence") * 5).alias("clarity"), mean("flesch").alias("flesch"), mean("density").alias("density"), share(45).alias("above_45"), share(50).alias("above_50"))

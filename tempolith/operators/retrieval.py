@@ -17,6 +17,12 @@ SPARSE_WEIGHT = {"temporal_count": 0.15, "reason_of": 0.25, "first_occurrence":
 DEFAULT_SPARSE_WEIGHT = 0.30
 
 
+def with_relation_similarity(edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """Edges with the similarity of their relation: the best score that a search gave it (relation, score), else 0."""
+    best = hits.groupBy(F.lower(F.trim("relation")).alias("_r")).agg(F.max("score").alias("similarity"))
+    return edges.join(best, F.lower(F.trim(edges["relation"])) == best["_r"], "left").drop("_r").fillna(0.0, ["similarity"])
+
+
 def grams(text: Column, most: int = 2) -> Column:
     """Words, and pairs of neighbours."""
     words = tokens(text)

@@ -127,7 +127,8 @@ def test_hooks(spark):
         raise OSError("down")
 
     assert {r.error for r in hooks.ask(rows, fails, times=1).collect()} == {"OSError: down"}
-    assert hooks.judged(rows, lambda ts: ['{"clarity": 5, "depth": 0.5}', "?"]).orderBy("id").first().scores == {"clarity": 1.0, "depth": 0.5}
+    assert hooks.judged(rows, lambda ts: ['{"clarity": 5, "depth": 0.5}' if t == "a" else "?" for t in ts]).orderBy("id").first().scores == {"clarity": 1.0, "depth": 0.5}
+    assert {r.error for r in hooks.ask(rows, lambda ts: []).collect()} == {"ValueError: 0 answers to 1 texts"}
     v = hooks.embed(rows.select("id", F.col("prompt").alias("text")), lambda ts: [[[3.0, 0.0], [3.0, 8.0]] for _ in ts]).first().embedding
     assert v == pytest.approx([0.6, 0.8])
     c = spark.createDataFrame([("q", f"e{i}", float(i)) for i in range(9)] + [("p", "x", 1.0)], "q_id string, edge_uid string, score double")
