@@ -47,8 +47,8 @@ PLACES, ROWS = 96, 4
 BANDS = PLACES // ROWS
 PERCENT = 80
 #: Bytes of text that are hashed together; members of a tile's side, and their shingles on average.
-STRETCH = 2 << 20
-TILE, TILE_SHINGLES = 2048, 1 << 20
+STRETCH = 1 << 20
+TILE, TILE_SHINGLES = 2048, 1 << 19
 _BASE = 0xD6E8FEB86659FD93
 
 

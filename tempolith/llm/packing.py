@@ -100,11 +100,10 @@ class WordEncoder(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.model = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.path, self._model = path, None
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         ranks = _merge_ranks(path)
         self.piece = None
         if ranks:
@@ -118,6 +117,15 @@ class WordEncoder(dict):
         ids = self[word] = struct.pack(f"<{len(x)}I", *x) if (x := self.piece(word)) else b""
         return ids
 
+    @property
+    def model(self):
+        """The tokenizer itself, loaded for the first text that needs it."""
+        if self._model is None:
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(self.path)
+        return self._model
+
     def ids(self, text: str) -> bytes:
         if self.piece and _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return b"".join(map(self.__getitem__, _TOKENS.findall(text)))
