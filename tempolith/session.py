@@ -8,17 +8,22 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that Python workers are handed at a time, where the session leaves Spark's setting alone.
+BATCH_BYTES = "4m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once for each application."""
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -28,13 +33,32 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)
     _shipped.add(sc.applicationId)
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system: workers stay, and wait beside their JVM."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``df.mapInPandas(f, schema)`` with this package importable on the executors."""
     ship(df.sparkSession)
-    return df.mapInPandas(f, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInPandas(run, schema)
 
 
 @lru_cache(maxsize=1)
@@ -47,10 +71,13 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves that unset (local mode, tests) is a temporary
-    folder of this process used.
+    Only where the session leaves that unset in local mode (tests) is a temporary
+    folder of this process used; on a cluster that is an error.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (told or _own_dir()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

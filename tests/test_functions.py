@@ -104,3 +104,87 @@ def test_jsonl(spark, tmp_path):
 def test_flesch(spark):
     df = spark.createDataFrame([("The cat sat. It ran.",), ("",)], "t string").select(text.flesch(F.col("t")).alias("f"))
     assert [round(r.f, 3) for r in df.collect()] == [100.0, 50.0]
+
+
+def test_fold_key(spark):
+    df = spark.createDataFrame([("ﬁve  ", "five"), ("ＡＢ", "ab"), ("a", "a")], "x string, y string")
+    assert all(r.a == r.b for r in df.select(text.fold_key(F.col("x")).alias("a"), text.fold_key(F.col("y")).alias("b")).collect())
+
+
+def test_year_hierarchy_of_long_intervals(spark):
+    e = spark.createDataFrame([("e1", "s", -2_500, 2_500), ("e2", "s", 5, 5), ("e3", "s", None, None)], "edge_uid string, source_uid string, start_year long, end_year long")
+    got = graph.year_hierarchy(e)
+    assert got.where("edge_uid = 'e1'").count() == 5001 and got.select("edge_uid", "year").distinct().count() == 5002
+    assert [r.relation for r in got.where("edge_uid = 'e2'").collect()] == ["within_year"]
+
+
+def test_interval_join(spark):
+    import random
+
+    from tempolith.operators.joins import within_intervals
+
+    rng = random.Random(3)
+    spans = [("k", i, *sorted(rng.randrange(-(10**w), 10**w) for _ in range(2))) for w in (1, 2, 3, 5, 8) for i in range(20)]
+    points = [("k", rng.randrange(-(10**w), 10**w)) for w in (1, 2, 4, 7) for _ in range(15)]
+    p, s = spark.createDataFrame(points, "k string, at long"), spark.createDataFrame(spans, "k string, i long, start_year long, end_year long")
+    got = sorted((r.at, r.start_year, r.end_year) for r in within_intervals(p, s, ["k"]).collect())
+    assert got == sorted((a, lo, hi) for _, a in points for *_, lo, hi in spans if lo <= a <= hi)
+
+
+def test_best_template(spark):
+    from tempolith.plans import nlg
+
+    f = nlg.with_fields(spark.createDataFrame([(1, "causality", "a storm in 1987", "the blackout")], "id long, fact_type string, cause string, effect string"))
+    got, rows = nlg.best_template(f).first(), nlg.choices(f).collect()
+    best = max(rows, key=lambda r: (r.passes, r.score, -r.template))
+    assert len(rows) == 23 and got.template_id == best.template_id and got.source == "template"
+    one = next(r for r in rows if r.template_id == "caus_micro_2")
+    words = len(one.text.split())
+    sure = (0.4 if words < 25 else 0.2) + 0.6 * min(1, one.flesch / 75)
+    assert abs(one.score - (0.8 * one.flesch + 20 * sure + 25)) < 1e-5
+
+
+def test_supported(spark):
+    from tempolith.plans import nlg
+
+    rows = [("the great storm of 1987", "a great storm in 1987", True), ("the great storm of 1987", "a great storm in 1988", False), ("the great storm", "great", False), ("abc", "", True)]
+    df = spark.createDataFrame(rows, "f string, t string, want boolean").select("want", nlg.supported(F.col("f"), F.col("t")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_frames_of_nine_intents():
+    from tempolith.plans.frames import parse_text
+
+    told = {
+        "Total rainfall for Q2 2021 in New Zealand": (["aggregation"], {"metric": "rainfall", "period": "2021-Q2", "region": "New Zealand"}),
+        "Did the storm cause the delay?": (["causal"], {"cause": "storm", "effect": "delay"}),
+        "Compare exports in 2010 and 2012": (["comparative"], {"metric": "exports", "a": "2010", "b": "2012"}),
+        "Track imports between 1999 and 2004": (["interval"], {"metric": "imports", "start": "1999", "end": "2004"}),
+        "Forecast wheat prices for 2031": (["prediction"], {"metric": "wheat_prices", "date": "2031"}),
+        "Why did turnout fall after the reform?": (["explanation", "sequence"], {"metric": "turnout", "anchor_event": "reform", "relation": "after"}),
+        "List concurrent outages in Q1 2022": (["overlap"], {"event": "outages", "period": "2022-Q1"}),
+        "What followed the merger?": (["sequence"], {"metric": "", "anchor": "merger", "relation": "followed"}),
+        "When was the old bridge built?": (["point_in_time"], {"event": "old bridge"}),
+    }
+    for text, (intents, frame) in told.items():
+        got = parse_text(text)
+        assert (got[1], got[0]) == (intents, frame), text
+        assert all(text[a:b] == piece for _, a, b, piece in got[2])
+    assert parse_text("nothing at all")[:2] == ({}, [])
+
+
+def test_classifiers(spark):
+    from tempolith.plans import classify
+
+    rows = [(i, f"{'count the' if i % 2 else 'why did'} {'apples' if i % 3 else 'ships'} number {i}", [x for x, on in (("count", i % 2), ("why", not i % 2), ("ship", i % 3 == 0)) if on]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, text string, labels array<string>")
+    parts = classify.split(df, "id", train=0.6, held=0.2)
+    assert {r.split: r["count"] for r in parts.groupBy("split").count().collect()} == {"train": 144, "held": 48, "test": 48}
+    of = lambda s: parts.where(F.col("split") == s)
+    model = classify.IntentClassifier(["count", "ship", "why"], size=512).fit(of("train"), of("held"))
+    told = {r.id: sorted(r.predicted) for r in model.predict(of("test")).collect()}
+    want = {i: sorted(x) for i, _, x in rows}
+    assert sum(told[i] == want[i] for i in told) >= 0.95 * len(told)
+    one = df.select("id", "text", F.get("labels", F.lit(0)).alias("label"))
+    right = classify.TaxonomyClassifier(512).fit(one).predict(one).join(one, "id").where("predicted = label").count()
+    assert right >= 235
