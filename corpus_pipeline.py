@@ -2,6 +2,18 @@
 
 Each stage takes what its predecessor kept, as a table with the columns of
 ``documents``; the last returns a row for each packed piece.
+
+1. Quality rules reject rows (hard rules; soft rules in suspect hosts; bad hosts).
+2. Of equal texts, white space aside, one row stays.
+3. Of near duplicates (five words, similarity 0.8) one row stays.
+4. The mix: each source's blocks as often as the draw takes them, as rows with the documents' own
+   columns (``n_chars`` is the length of the row's text); a source below its share loses blocks, one above it repeats them.
+5. Best-fit packing of every row's tokens.
+
+Defined results: null and blank texts fail the quality rules, so none gets further; rows repeated outright are
+equal texts; null ids stay null throughout; rows that share an id are documents of their own; a null source is a
+source; very long texts are treated whole in every stage; ties are broken as the stages' operators say; an empty
+table gives an empty result; extra columns, whatever their names, are kept up to the packing.
 """
 
 from __future__ import annotations

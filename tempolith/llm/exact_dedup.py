@@ -84,9 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that lose to an equal text, columns unchanged.
 
-    The rows of hot groups are settled by the broadcast table; a row that loses
-    is found again by its digest, length and id, so no text is shuffled but
-    that of rows whose digest occurs more than once outside the hot groups.
+    Verdicts come from digests alone; those of hot groups are settled by the broadcast
+    table.  A row that loses is found again by its digest, length and id in an anti
+    join, which shuffles every text once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(

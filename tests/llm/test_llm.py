@@ -434,6 +434,56 @@ def test_mixing_many_shards(spark, seed):
         assert abs(slots.get(sorted(size).index(g.source), 0) - g.t / 4) <= 1 and g.most <= 3 and abs(g.taken - g.t) <= 4, g
 
 
+def test_mixing_against_loops(spark):
+    # streams, draws, permutations and joins again, one word at a time
+    rng = random.Random(11)
+    rows = [(i, words(rng, rng.choice([0, 1, 5, 40, 300])), f"s{min(3, rng.randrange(7))}" if i % 11 else None) for i in range(120)] + [(5, "a b c", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    block, shard, seed = 8, 32, 9
+    sized = [r.asDict() for r in mixing._sized(docs, "doc_id", "text", "source", F.monotonically_increasing_id()).collect()]
+    got = mixing.mix(docs, seed=seed, block=block, shard=shard)[0].collect()
+    names = sorted({r["source"] for r in sized}, key=lambda s: (s is None, s or ""))
+    number = {s: i for i, s in enumerate(names)}
+    total = {s: sum(r["size"] for r in sized if r["source"] == s) for s in names}
+    target = {g.source: g.target for g in got}
+    used = [s for s in names if total[s]]
+    n_blocks = {s: -(-total[s] // block) for s in used}
+    given = dict(zip(used, mixing.rounded([target[s] * n_blocks[s] / total[s] for s in used])))
+    slots = sum(given.values())
+    shards = -(-slots // shard)
+
+    def halves(lo, hi, rest):
+        if hi - lo == 1:
+            return [rest]
+        a, b = mixing.split(rest, lo, hi, shard, seed)
+        at = (lo + hi) // 2
+        return halves(lo, at, a) + halves(at, hi, b)
+
+    drawn = halves(0, shards, np.array([given[s] for s in used], dtype="int64"))
+    assert [int(d.sum()) for d in drawn] == [min(shard, slots - k * shard) for k in range(shards)]
+    taken = dict.fromkeys((r["row"] for r in sized), 0)
+    for j, s in enumerate(used):
+        assert sum(int(d[j]) for d in drawn) == given[s] and abs(given[s] - target[s] * n_blocks[s] / total[s]) < 1
+        order, owner = sorted((r for r in sized if r["source"] == s and r["size"]), key=lambda r: (r["place"] % 1024, r["place"], r["doc_id"], r["size"], r["row"])), []
+        for r in order:
+            owner += [r["row"]] * r["size"]
+        for t in range(given[s]):
+            n = n_blocks[s]
+            key = mixing.mix64(np.uint64(seed) * np.uint64(1 << 32) + np.uint64(t // n) * np.uint64(1 << 20) + np.uint64(number[s]))
+            at = int(mixing.permuted(np.array([t % n]), n, key)[0])
+            for row in owner[at * block : (at + 1) * block]:
+                taken[row] += 1
+    assert {g.row: g.taken for g in got} == taken
+
+
+def test_hypergeometric_limit():
+    chance = np.random.Generator(np.random.Philox(key=[1, 2]))
+    few = [mixing.hypergeometric(chance, 30, 70, 50) for _ in range(400)]
+    many = [mixing.hypergeometric(chance, 3 * 10**12, 7 * 10**12, 10**6) for _ in range(400)]
+    assert abs(np.mean(few) - 15) < 0.7 and abs(np.mean(many) / 300_000 - 1) < 0.001 and abs(np.std(many) / 458 - 1) < 0.15
+    assert mixing.hypergeometric(chance, 10**12, 0, 10**11) == 10**11 and mixing.hypergeometric(chance, 0, 10**12, 5) == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
 def test_permutations(n):
     assert sorted(mixing.permuted(np.arange(n), n, np.uint64(n + 5))) == list(range(n))
