@@ -59,7 +59,7 @@ def op_s7_qa_index(spark: SparkSession, d: str) -> DataFrame:
 def op_s8_dense_scan(spark: SparkSession, d: str) -> DataFrame:
     """Two generations of a matrix in a folder: the one written last counts, and its rows must be of one length."""
     path, v = fresh_path(spark, "vectors"), p.read(spark, d, "embeddings")
-    v.limit(3).coalesce(1).write.parquet(f"{path}/a")
+    v.withColumn("vec_id", -F.col("vec_id")).coalesce(1).write.parquet(f"{path}/a")
     v.coalesce(1).write.parquet(f"{path}/b")
     return readers.checked(readers.newest(spark, path, "part-")).select("vec_id", F.size("embedding").alias("width"))
 

@@ -97,13 +97,19 @@ def top_k(scores: DataFrame, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Up to so many query vectors are sent to every task.
+QUERIES = 10_000
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of every query vector (q_id, q_embedding) with every vector (id, embedding).
 
-    Queries are a stated set; the vectors are read once and each task holds the
-    queries as a broadcast only if they are few (Spark's own size check).
+    Queries are a stated set, counted first: a few are sent to every task, so the vectors are read once and
+    never shuffled; more are met block by block.  A rank that is asked for next is applied before the shuffle.
     """
-    return queries.crossJoin(vectors).select("q_id", "id", cosine(F.col("q_embedding"), F.col("embedding")).alias("score"))
+    few = queries.limit(QUERIES + 1).count() <= QUERIES
+    asked = F.broadcast(queries) if few else queries
+    return vectors.crossJoin(asked).select("q_id", "id", cosine(F.col("q_embedding"), F.col("embedding")).alias("score"))
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, sparse_weight: float = DEFAULT_SPARSE_WEIGHT) -> DataFrame:

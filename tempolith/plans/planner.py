@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The words by which a question shows its type, the most telling first.
+TYPE_PATTERNS = (
+    ("analogical_transfer", r"^if .*(?:will|could|same happen)"),
+    ("reason_of", r"reason|^(?!if ).*cause"),
+    ("start_affecting", r"start(?:ed)? affecting"),
+    ("temporal_count", r"how many|\bcount\b"),
+    ("temporal_path_existence", r"path|reach"),
+    ("first_occurrence", r"^(?=.*came (?:first|earlier|later|last)\b).*(?:first|earlier)"),
+    ("last_occurrence", r"came (?:later|last)\b"),
+    ("first_occurrence", r"^(?=.*earlier).*or"),
+    ("last_occurrence", r"^(?=.*later).*or"),
+    ("first_occurrence", r"^(?=.*(?:was |did )).*before"),
+    ("first_occurrence", r"^when did.*(?:first|start)"),
+    ("existence_in_time", r"^(?:was|did) "),
+)
+
+
 def question_type(text: Column) -> Column:
-    """Keyword rules, the most specific first."""
-    low = F.lower(F.trim(text))
-    has = low.contains
-    when = low.startswith("if ") & (has("will") | has("could") | has("same happen"))
-    first = lambda a, b, word: F.when(has(word), a).otherwise(b)
-    return (
-        F.when(when, "analogical_transfer")
-        .when(has("reason") | (has("cause") & ~low.startswith("if ")), "reason_of")
-        .when(has("start affecting") | has("started affecting"), "start_affecting")
-        .when(has("how many") | low.rlike(r"\bcount\b"), "temporal_count")
-        .when(has("path") | has("reach"), "temporal_path_existence")
-        .when(low.rlike(r"came (first|earlier|later|last)\b"), F.when(has("first") | has("earlier"), "first_occurrence").otherwise("last_occurrence"))
-        .when((has("earlier") | has("later")) & has("or"), first(F.lit("first_occurrence"), F.lit("last_occurrence"), "earlier"))
-        .when((has("was ") | has("did ")) & has("before"), "first_occurrence")
-        .when(low.startswith("when did") & (has("first") | has("start")), "first_occurrence")
-        .when(low.startswith("was ") | low.startswith("did "), "existence_in_time")
-        .otherwise("state_at_time")
-    )
+    """The type of the first pattern that a question shows, else that of a state at a time."""
+    low, out = F.lower(F.trim(text)), F.lit("state_at_time")
+    for kind, pattern in reversed(TYPE_PATTERNS):
+        out = F.when(low.rlike(f"(?s){pattern}"), kind).otherwise(out)
+    return out
 
 
 def question_year(text: Column) -> Column:
