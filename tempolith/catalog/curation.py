@@ -188,7 +188,7 @@ def op_r23_semantic_search(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = p.supplied_edges(spark, d), p.nodes(spark, d)
     s = p.read(spark, d, "supplier")
     uid = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
-    asked = s.select(uid.alias("q_id"), F.concat(F.lit("what supplied "), "s_name").alias("text"), F.lit("state_at_time").alias("query_type"), F.lit("SUPPL").alias("relation_hint"), F.lit(1998).cast("bigint").alias("year"), F.lit(None).cast("bigint").alias("start_year"), F.lit(None).cast("bigint").alias("end_year"))
+    asked = s.select(uid.alias("q_id"), F.split_part("s_name", F.lit("#"), F.lit(2)).alias("text"), F.lit("state_at_time").alias("query_type"), F.lit("SUPPL").alias("relation_hint"), F.lit(1998).cast("bigint").alias("year"), F.lit(None).cast("bigint").alias("start_year"), F.lit(None).cast("bigint").alias("end_year"))
     hits = search.search_edges(asked, edges, nodes, seeds=s.select(uid.alias("q_id"), uid.alias("node_uid")))
     return hits.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql.types import StringType
 from ..vocabulary import MARKERS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where a lambda in ``body`` reads it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm(value: Column) -> Column:
     return F.lower(F.trim(value))
 
@@ -25,6 +31,11 @@ def tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"\b\w\w+\b"), F.lit(0))
 
 
+def word_pairs(words: Column) -> Column:
+    """Neighbours in an array of words, joined by a blank."""
+    return let(words, lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1))))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
-from ..functions.text import tokens
+from ..functions.text import let, tokens, word_pairs
 from ..session import ship
 
 #: Weight of the lexical score by type of question; the rest is the dense score's.
@@ -26,10 +26,7 @@ def with_relation_similarity(edges: DataFrame, hits: DataFrame) -> DataFrame:
 def grams(text: Column, most: int = 2) -> Column:
     """Words, and pairs of neighbours."""
     words = tokens(text)
-    if most == 1:
-        return words
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1)))
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+    return words if most == 1 else let(words, lambda ws: F.concat(ws, word_pairs(ws)))
 
 
 def postings(docs: DataFrame, most: int = 2) -> DataFrame:

@@ -110,15 +110,18 @@ def render(facts: DataFrame, anchors: int = 1, only: str | None = None) -> DataF
     facts = with_fields(facts)
     row = lambda k, t: F.struct(F.lit(k).alias("template"), F.lit(t[0]).alias("template_id"), F.lit(t[1]).alias("pattern"), F.lit(t[2] / 5.0).alias("confidence"))
     table = F.create_map(*[x for kind, ts in LIBRARY.items() for x in (F.lit(kind), F.array(*[row(k, t) for k, t in enumerate(ts)]))])
-    rows = facts.select("*", F.explode_outer(F.try_element_at(table, F.col("fact_type"))).alias("t"))
+    fields = _library_fields()
+    # a fact's fields are made once, before it meets its templates
+    made = facts.select("id", "fact_type", *[v.cast("string").alias(f"f_{n}") for n, v in fields.items()], _hint(anchors).alias("hint"), F.array_join(_missing(), ",").alias("lacks"))
+    rows = made.select("*", F.explode_outer(F.try_element_at(table, F.col("fact_type"))).alias("t"))
     if only:
         rows = rows.where(F.col("t.template_id") == only)
-    text, hint, error = _fill(F.col("t.pattern"), _library_fields()), _hint(anchors), _missing()
+    rows = once(rows, raw=_fill(F.col("t.pattern"), {n: F.col(f"f_{n}") for n in fields}))
+    raw, hint, ok = F.col("raw"), F.col("hint"), F.col("lacks") == ""
     # sentences of points and intervals begin with a capital
-    text = F.when(F.col("fact_type").isin("point_in_time", "interval"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))).otherwise(text)
+    text = F.when(F.col("fact_type").isin("point_in_time", "interval"), F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, 2, 1 << 30))).otherwise(raw)
     text = F.when(hint != "", F.concat(text, F.lit(" Key facts: "), hint, F.lit("."))).otherwise(text)
-    ok = F.size(error) == 0
-    return rows.select("id", "fact_type", "t.template", "t.template_id", "t.confidence", F.when(ok, text).alias("text"), F.when(~ok, F.concat(F.lit("missing "), F.array_join(error, ","))).alias("error"))
+    return rows.select("id", "fact_type", "t.template", "t.template_id", "t.confidence", F.when(ok, text).alias("text"), F.when(~ok, F.concat(F.lit("missing "), "lacks")).alias("error"))
 
 
 def first_template(facts: DataFrame) -> DataFrame:
@@ -126,8 +129,16 @@ def first_template(facts: DataFrame) -> DataFrame:
     return render(facts).where(F.coalesce(F.col("template"), F.lit(0)) == 0).select("id", "fact_type", "text", "error")
 
 
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with further columns that are computed once for each row, however often later ones use them:
+    behind a generator Spark does not put their expressions in place of their names."""
+    held = rows.select("*", F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias("_once"))
+    return held.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_once.{n}").alias(n) for n in values])
+
+
 def readable(rendered: DataFrame) -> DataFrame:
-    return rendered.where("text is not null").select("*", F.round(flesch(F.col("text")), 6).alias("flesch"), F.round(density(F.col("text")), 6).alias("density"))
+    told = once(rendered.where("text is not null"), text_=F.col("text")).drop("text").withColumnRenamed("text_", "text")
+    return once(told, flesch=F.round(flesch(F.col("text")), 6), density=F.round(density(F.col("text")), 6))
 
 
 def generic(facts: DataFrame, pattern: str) -> DataFrame:
@@ -175,9 +186,12 @@ def content_years(text: Column) -> Column:
 
 def supported(fact: Column, text: Column) -> Column:
     """Does a text stand on its fact: a shared year if the fact has any, and two shared words (or all that it has)."""
-    own, years = content_tokens(fact), content_years(fact)
-    shared = F.size(F.array_intersect(own, F.array_except(content_tokens(text), F.array(*map(F.lit, _IDLE)))))
-    return ((F.size(years) == 0) | F.arrays_overlap(years, content_years(text))) & (shared >= F.least(F.lit(2), F.size(own)))
+    return _stands(content_tokens(fact), content_years(fact), content_tokens(text), content_years(text))
+
+
+def _stands(own: Column, years: Column, words: Column, said: Column) -> Column:
+    shared = F.size(F.array_intersect(own, F.array_except(words, F.array(*map(F.lit, _IDLE)))))
+    return ((F.size(years) == 0) | F.arrays_overlap(years, said)) & (shared >= F.least(F.lit(2), F.size(own)))
 
 
 def selector_confidence(text: Column, score: Column) -> Column:
@@ -190,12 +204,13 @@ def choices(facts: DataFrame) -> DataFrame:
     facts = with_fields(facts)
     parts = [F.col(n) for n in ("entity", "event", "date", "start_date", "end_date", "duration", "time_span", "time_period", "cause", "effect", "mechanism", "certainty", "first", "second", "inner", "outer", "frequency")]
     told = F.concat_ws(" ", *parts, F.array_join(F.coalesce("events", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("timestamps", F.array().cast("array<string>")), " "))
-    rows = readable(render(facts)).where(F.length(F.trim("text")) > 5).join(facts.select("id", told.alias("told")), "id")
-    text, own, years = F.col("text"), content_tokens(F.col("told")), content_years(F.col("told"))
-    bonus = F.when(F.arrays_overlap(own, content_tokens(text)), 20.0).otherwise(0.0) + F.when(F.arrays_overlap(years, content_years(text)), 5.0).otherwise(0.0)
-    sure = selector_confidence(text, F.col("flesch"))
-    score = 0.8 * F.col("flesch") + 20 * sure + bonus
-    return rows.select("id", "fact_type", "template", "template_id", "text", "flesch", F.round(sure, 6).alias("confidence"), F.round(score, 6).alias("score"), supported(F.col("told"), text).alias("passes"))
+    of_fact = facts.select("id", content_tokens(told).alias("own"), content_years(told).alias("own_years"))
+    rows = readable(render(facts)).where(F.length(F.trim("text")) > 5).join(of_fact, "id")
+    rows = once(rows, words=content_tokens(F.col("text")), said=content_years(F.col("text")), sure=selector_confidence(F.col("text"), F.col("flesch")))
+    bonus = F.when(F.arrays_overlap("own", "words"), 20.0).otherwise(0.0) + F.when(F.arrays_overlap("own_years", "said"), 5.0).otherwise(0.0)
+    score = 0.8 * F.col("flesch") + 20 * F.col("sure") + bonus
+    passes = _stands(F.col("own"), F.col("own_years"), F.col("words"), F.col("said"))
+    return rows.select("id", "fact_type", "template", "template_id", "text", "flesch", F.round("sure", 6).alias("confidence"), F.round(score, 6).alias("score"), passes.alias("passes"))
 
 
 def best_template(facts: DataFrame) -> DataFrame:
