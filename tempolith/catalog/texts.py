@@ -112,8 +112,8 @@ s AS (SELECT doc_id, len(ws) AS n, sents, list_transform(list_filter(list_transf
 c AS (SELECT doc_id, n, sents, CASE WHEN len(syl) = 0 THEN 0 ELSE list_sum(syl) + CASE WHEN syl[1] = 0 THEN 1 ELSE 0 END END AS total FROM s)
 SELECT doc_id, round(CASE WHEN n = 0 THEN 50.0 ELSE greatest(0.0, least(100.0, 206.835 - 1.015 * (n / sents) - 84.6 * (total / n))) END, 4) AS flesch, round(CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, total / (n * 1.5)) END, 6) AS density FROM c""")
 def op_f7_flesch(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("text")
-    return p.read(spark, d, "documents").select("doc_id", F.round(t.flesch(x), 4).alias("flesch"), F.round(t.density(x), 6).alias("density"))
+    told = p.read(spark, d, "documents").select("doc_id", t.readability(F.col("text")).alias("r"))
+    return told.select("doc_id", F.round("r.flesch", 4).alias("flesch"), F.round("r.density", 6).alias("density"))
 
 
 _MARK = ", ".join("(" + " OR ".join(f"contains(lower(text), '{m}')" for m in ms) + f") AS {k}" for k, ms in MARKERS.items())

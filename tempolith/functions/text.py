@@ -41,26 +41,37 @@ def word_count(text: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Groups of vowels in the letters of all words.  The total is raised to one as soon as a word has passed
-    without any vowel group so far, which only the first word that has letters can do."""
-    bare = F.regexp_replace(F.lower(text), r"[^a-z\s]+", "")
-    return F.regexp_count(bare, F.lit("[aeiou]+")) + bare.rlike(r"\A\s*[b-df-hj-np-tv-z]+(?:\s|\z)").cast("int")
+    """Groups of vowels in the letters of all words; what is no letter inside a word does not part a group.  The total is raised
+    to one as soon as a word has passed without any vowel group so far, which only the first word that has letters can do."""
+    low = F.lower(text)
+    first_is_bare = low.rlike(r"\A[^a-z]*+(?=[a-z])[^\saeiou]*+(?:\s|\z)")
+    return F.regexp_count(low, F.lit(r"[aeiou](?:[^a-z\s]*+[aeiou])*+")) + first_is_bare.cast("int")
 
 
 def sentences(text: Column) -> Column:
-    return F.greatest(F.size(F.split(F.trim(text), r"[.!?]+")) - 1, F.lit(1))
+    return F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
+
+
+def readability(text: Column) -> Column:
+    """struct(flesch, density), from one count of words, sentences and syllables: reading ease, held to 0..100 and 50 for
+    a text without words; syllables by one and a half times the words, at most 1."""
+    counts = F.struct(word_count(text).alias("n"), syllables(text).alias("s"), sentences(text).alias("k"))
+
+    def scores(c: Column) -> Column:
+        ease = F.lit(206.835) - 1.015 * (c["n"] / c["k"]) - 84.6 * F.try_divide(c["s"], c["n"])
+        held = F.when(c["n"] == 0, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)))
+        dense = F.when(c["n"] == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(c["s"], c["n"] * 1.5)))
+        return F.struct(held.alias("flesch"), dense.alias("density"))
+
+    return let(counts, scores)
 
 
 def flesch(text: Column) -> Column:
-    """Flesch reading ease, held to 0..100; 50 for a text without words."""
-    n = word_count(text)
-    score = F.lit(206.835) - 1.015 * (n / sentences(text)) - 84.6 * F.try_divide(syllables(text), n)
-    return F.when(n == 0, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+    return readability(text)["flesch"]
 
 
 def density(text: Column) -> Column:
-    n = word_count(text)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(syllables(text), n * 1.5)))
+    return readability(text)["density"]
 
 
 def has_marker(text: Column, kind: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import density, flesch, join_and, mermaid_id, truncate, word_count
+from ..functions.text import join_and, mermaid_id, readability, truncate, word_count
 from .templates import GENERIC_DEFAULTS, LIBRARY, REQUIRED
 
 FACT = (
@@ -138,7 +138,8 @@ def once(rows: DataFrame, **values: Column) -> DataFrame:
 
 def readable(rendered: DataFrame) -> DataFrame:
     told = once(rendered.where("text is not null"), text_=F.col("text")).drop("text").withColumnRenamed("text_", "text")
-    return once(told, flesch=F.round(flesch(F.col("text")), 6), density=F.round(density(F.col("text")), 6))
+    told = once(told, scores=readability(F.col("text")))
+    return told.select(*rendered.columns, F.round("scores.flesch", 6).alias("flesch"), F.round("scores.density", 6).alias("density"))
 
 
 def generic(facts: DataFrame, pattern: str) -> DataFrame:
