@@ -188,3 +188,39 @@ def test_classifiers(spark):
     one = df.select("id", "text", F.get("labels", F.lit(0)).alias("label"))
     right = classify.TaxonomyClassifier(512).fit(one).predict(one).join(one, "id").where("predicted = label").count()
     assert right >= 235
+
+
+def test_targeted_retrieval(spark):
+    import math
+
+    from tempolith.operators import search
+
+    names = {"a": ("Old Mill", "event"), "b": ("Great Fire", "event"), "c": ("New Town", "event"), "d": ("1999", "date"), "x": ("Far Away", "event")}
+    nodes = spark.createDataFrame([(k, *v) for k, v in names.items()], "node_uid string, label string, category string")
+    rows = [("e1", "a", "b", "made", 2000, 2000, "base", 1), ("e2", "a", "c", "saw", 1990, 1991, "gold_fact", 3), ("e3", "b", "x", "made", 2000, None, "base", 1), ("e4", "c", "x", "saw", 1950, 1951, "base", 1), ("e5", "d", "x", "dated", 2000, 2000, "base", 1)]
+    edges = spark.createDataFrame(rows, EDGE)
+    asked = spark.createDataFrame([("q", ["old mill", "1999"], ["Made"], 2000), ("none", ["nobody"], [], None)], "q_id string, entities array<string>, relations array<string>, year long")
+    got = [(r.edge_uid, round(r.score, 6)) for r in search.retrieve(asked, edges, nodes).orderBy("q_id", "rank").collect()]
+    near = lambda away: -min(0.20, 0.02 * away)
+    want = {
+        "e1": 0.35 * 0.8 + 0.15 + 0.05 * math.log(2) + 0.40 / math.log(2) + 0.10 + 0.30,
+        "e2": 0.25 + 0.05 * math.log(4) + near(9) + 0.10,
+        # from the far end of an edge at the mill, in the year; the other far edge is out of its time
+        "e3": 0.35 * 0.8 + 0.15 + 0.05 * math.log(2) + 0.40 / math.log(2) + 0.30,
+    }
+    assert got == sorted(((k, round(v, 6)) for k, v in want.items()), key=lambda x: -x[1])
+
+
+def test_shared_folder_is_needed():
+    import types
+
+    import pytest
+
+    from tempolith.session import shared_dir
+
+    conf = types.SimpleNamespace(get=lambda k, d=None: d)
+    session = lambda master: types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master))
+    assert shared_dir(session("local[2]")).startswith("file:")
+    for master in ("yarn", "local-cluster[2,1,512]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
