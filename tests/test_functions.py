@@ -211,6 +211,49 @@ def test_targeted_retrieval(spark):
     assert got == sorted(((k, round(v, 6)) for k, v in want.items()), key=lambda x: -x[1])
 
 
+def test_semantic_search_in_place(spark, monkeypatch):
+    """Scores found beside the edges are those of postings, with and without seeds; no postings are made."""
+    import pytest
+
+    from tempolith.operators import lexicon, search
+    from tempolith.sources import projection
+
+    sf = "/root/testdata/sf0.001"
+    edges, nodes = projection.edges(spark, sf), projection.nodes(spark, sf).where("node_uid <> 'P4'")
+    told = [("a", "large ring 000000001 1996", "reason_of", None, None, None, None), ("b", "large ring 000000001 1996", "x", "SUPP", 1998, None, None), ("c", "Supplier from 1993", "x", None, None, 1992, 1996), ("d", None, "x", None, None, None, None), ("e", "nowhere", "x", None, None, None, None), ("f", "P4 large LARGE blue bolt", "temporal_count", None, None, None, None)]
+    asked = spark.createDataFrame(told, "q_id string, text string, query_type string, relation_hint string, year long, start_year long, end_year long")
+    seeds = spark.createDataFrame([("a", "S1"), ("a", "P3"), ("b", "S1"), ("b", "S2"), ("f", "P4"), ("c", "S3")], "q_id string, node_uid string")
+    run = lambda s, **o: {(r.q_id, r.edge_uid): (r["rank"], r.score) for r in search.search_edges(asked, edges, nodes, s, **o).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(search, "lexicon", lambda *_: None)
+        want = [run(None), run(seeds)]
+    assert all(want)
+
+    def none(*_, **__):
+        raise AssertionError("postings")
+
+    monkeypatch.setattr(search, "tfidf_scores", none)
+    assert [run(None), run(seeds, sources=nodes.where("category in ('org', 'person', 'location')"))] == want
+    monkeypatch.setattr(lexicon, "TERMS", 5)
+    with pytest.raises(AssertionError, match="postings"):
+        run(None)
+
+
+def test_lexicon_portions(monkeypatch):
+    import pyarrow as pa
+
+    from tempolith.operators import lexicon
+
+    df = pa.table({"term": [None, "aa", "bb", "cc", "aa bb", "bb cc"], "df": [4, 3, 2, 1, 2, 1]})
+    own = lexicon.Lexicon(df, ["aa bb", "bb", "zz"], [["aa", "bb", "aa bb"], ["bb"], ["zz"]])
+    words = pa.array([["aa", "bb"], [], ["bb", "cc"], ["aa"]])
+    whole = [list(map(tuple, zip(*(x.tolist() for x in part), strict=True))) for part in own.products(words)]
+    assert len(whole) == 1 and [x[:2] for x in whole[0]] == [(0, 0), (0, 1), (2, 0), (2, 1), (3, 0)]
+    assert abs(whole[0][0][2] - 1) < 1e-12 and abs(whole[0][0][3] - 1) < 1e-12
+    monkeypatch.setattr(lexicon, "PRODUCTS", 1)
+    assert sum(([tuple(y) for y in zip(*(x.tolist() for x in part), strict=True)] for part in own.products(words)), []) == whole[0]
+
+
 def test_shared_folder_is_needed():
     import types
 
